@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, secrets, toxicity
+from millrace.llm import chat, decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 
 #: Tokenizer files; a cluster may keep them elsewhere.
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -68,7 +72,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packing, op2_pii, op3_jaccard_join, op4_secret_scan, op6_toxicity, op7_chat, op8_decontamination,
+        op1_packing, op2_pii, op3_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_toxicity, op7_chat, op8_decontamination,
         op9_quality_rules, op10_quality_classifier,
     )
 }
