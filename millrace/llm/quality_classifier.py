@@ -125,25 +125,31 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model
     return Model(ratio, float(threshold))
 
 
+def _keys(ids: list, texts: pa.Array, memo: Tokens, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, mean log-ratios) of documents."""
+    means, seeds = np.zeros(len(ids)), np.zeros(len(ids), np.uint64)
+    for i, (key, text) in enumerate(zip(ids, texts, strict=True)):
+        body = text.as_py() or ""
+        means[i] = _mean(body, memo, ratio)
+        seeds[i] = xxhash.xxh3_64_intdigest(body, (key or 0) & (1 << 64) - 1)
+    uniform = ((seeds >> np.uint64(11)).astype(float) + 0.5) / 2**53
+    return EVIDENCE * means - np.log(-np.log(uniform)), means
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, log_ratio (mean), gumbel_key of every row, in the order of ``docs``."""
+    """doc_id, log_ratio (mean), gumbel_key and text_hash of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model.ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            means = np.array([_mean(t, memo, sent.value) for t in texts])
-            seeds = [xxhash.xxh3_64_intdigest(t, i or 0) for i, t in zip(b.column(0).to_pylist(), texts, strict=True)]
-            uniform = (np.array(seeds, np.uint64) >> np.uint64(11)).astype(float) + 0.5
-            keys = EVIDENCE * means - np.log(-np.log(uniform / 2**53))
-            digests = [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts]
+            keys, means = _keys(b.column(0).to_pylist(), b.column(1), memo, sent.value)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(means), pa.array(keys), pa.array(digests, pa.int64())],
+                [b.column(0), pa.array(means), pa.array(keys), b.column(2)],
                 ["doc_id", "log_ratio", "gumbel_key", "text_hash"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
         run, "doc_id bigint, log_ratio double, gumbel_key double, text_hash bigint"
     )
 
@@ -168,15 +174,39 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
+def decide(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model | None, DataFrame | None, float]:
+    """(model, scored rows, least key that is kept)."""
+    model = fit(docs, labels, limit)
+    if model is None:
+        return None, None, -np.inf
+    scored = stored(score(docs, model))
+    k = scored.filter(F.col("log_ratio") >= model.threshold).count()
+    return model, scored, kth_largest(scored, "gumbel_key", k) if k else np.inf
+
+
 def select(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id, text_hash, log_ratio, gumbel_key and kept of every document."""
-    model = fit(docs, labels, limit)
+    model, scored, cut = decide(docs, labels, limit)
     if model is None:
         return docs.select(
-            "doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0.0).alias("log_ratio"),
-            F.lit(0.0).alias("gumbel_key"), F.lit(True).alias("kept"),
+            "doc_id", F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("gumbel_key"),
+            F.lit(0).cast("long").alias("text_hash"), F.lit(True).alias("kept"),
         )
-    scored = stored(score(docs, model))
-    k = scored.filter(F.col("log_ratio") >= model.threshold).count()
-    cut = kth_largest(scored, "gumbel_key", k) if k else float("inf")
     return scored.withColumn("kept", F.col("gumbel_key") >= cut)
+
+
+def keep(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; no text is shuffled."""
+    model, _, cut = decide(docs, labels, limit)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model.ratio)
+    at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Tokens()
+        for b in batches:
+            keys, _ = _keys(b.column(at_id).to_pylist(), b.column(at_text), memo, sent.value)
+            yield b.filter(pa.array(keys >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
