@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.plans import corpus  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "a6_source_summary"
