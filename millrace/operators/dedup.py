@@ -134,6 +134,13 @@ def cluster_sizes(packaged: DataFrame, key: str = "doc_id") -> DataFrame:
     return packaged.groupBy(F.coalesce("duplicate_of", key).alias("root")).agg(F.count("*").alias("size"))
 
 
+def released(docs: DataFrame, prior: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, released_id: rows whose comparison text a prior release has, with its least id there."""
+    digest = F.sha2(T.comparison_text(F.col(text)), 256).alias("digest")
+    old = prior.select(F.col(key).alias("old"), digest).groupBy("digest").agg(F.min("old").alias("released_id"))
+    return docs.select(key, digest).join(old, "digest").select(key, "released_id")
+
+
 def unseen(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Rows whose key no manifest row has; the first of equal keys stays."""
     return rows.join(manifest.select(key), key, "left_anti").dropDuplicates([key])

@@ -52,10 +52,14 @@ def verdict(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line, times, chars: the most repeated long line of texts that repetition dominates."""
-    rows = docs.select(key, F.length(text).alias("n"), F.explode(T.lines(F.col(text))).alias("line")).filter(F.length("line") >= 24)
-    counts = rows.groupBy(key, "n", "line").agg(F.count("*").alias("times")).filter("times >= 8")
-    best = counts.groupBy(key, "n").agg(
-        F.max(F.struct("times", "line")).alias("top"), F.sum(F.col("times") * F.length("line")).alias("chars")
+    """key, line, times, chars: the most repeated long line (the earliest of equals) of texts that
+    repetition dominates: eight times or more, and a quarter of the text in repeats."""
+    rows = docs.select(key, F.length(text).alias("n"), F.posexplode(T.lines(F.col(text))).alias("pos", "line"))
+    counts = rows.filter(F.length("line") >= 24).groupBy(key, "n", "line").agg(
+        F.count("*").alias("times"), F.min("pos").alias("pos")
     )
-    return best.filter("chars * 4 >= n").select(key, "top.line", "top.times", "chars")
+    best = counts.filter("times >= 8").groupBy(key, "n").agg(
+        F.min(F.struct((-F.col("times")).alias("less"), "pos", "line", "times")).alias("top"),
+        F.sum((F.col("times") - 1) * F.length("line")).alias("chars"),
+    )
+    return best.filter("chars >= n div 4").select(key, "top.line", "top.times", "chars")

@@ -100,10 +100,12 @@ def p7(spark, d):
 
 @query(
     "p8_repeated_lines",
-    f"""WITH l AS (SELECT doc_id, length(text) AS n, unnest({LINES}) AS line FROM documents),
-    c AS (SELECT doc_id, n, line, count(*) AS times FROM l WHERE length(line) >= 24 GROUP BY ALL HAVING count(*) >= 8),
-    b AS (SELECT doc_id, n, max({{'times': times, 'line': line}}) AS top, sum(times * length(line))::BIGINT AS chars FROM c GROUP BY ALL)
-    SELECT doc_id, top.line AS line, top.times AS times, chars FROM b WHERE chars * 4 >= n""",
+    f"""WITH d AS (SELECT doc_id, length(text) AS n, {LINES} AS ls FROM documents),
+    l AS (SELECT doc_id, n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+    c AS (SELECT doc_id, n, line, count(*) AS times, min(pos) AS pos FROM l WHERE length(line) >= 24 GROUP BY doc_id, n, line HAVING count(*) >= 8),
+    b AS (SELECT doc_id, n, arg_min({{'times': times, 'line': line}}, {{'less': -times, 'pos': pos}}) AS top, sum((times - 1) * length(line))::BIGINT AS chars
+      FROM c GROUP BY doc_id, n)
+    SELECT doc_id, top.line AS line, top.times AS times, chars FROM b WHERE chars >= n // 4""",
 )
 def p8(spark, d):
     return quality.repeated_lines(table(spark, d, "documents"), "doc_id")
@@ -148,14 +150,14 @@ def d7(spark, d):
 
 @query(
     "d8_cross_release_exact",
-    f"""WITH n AS (SELECT doc_id, {NORM} AS norm FROM documents), prior AS (SELECT norm, min(doc_id) AS released_id FROM n WHERE doc_id % 10 = 0 GROUP BY 1)
-    SELECT doc_id, released_id FROM n JOIN prior USING (norm) WHERE doc_id % 10 <> 0""",
+    f"""WITH n AS (SELECT doc_id, {NORM} AS norm FROM documents), prior AS (SELECT norm, min(doc_id) AS released_id FROM n JOIN labels USING (doc_id) GROUP BY 1)
+    SELECT doc_id, released_id FROM n JOIN prior USING (norm) WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def d8(spark, d):
-    """Every tenth document plays the prior release."""
-    docs = table(spark, d, "documents").select("doc_id", T.comparison_text(F.col("text")).alias("norm"))
-    prior = docs.filter("doc_id % 10 = 0").groupBy("norm").agg(F.min("doc_id").alias("released_id"))
-    return docs.filter("doc_id % 10 <> 0").join(prior, "norm").select("doc_id", "released_id")
+    """The labelled documents play the prior release, the others the new one."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    prior, new = docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti")
+    return dedup.released(new, prior)
 
 
 REF = "ref AS (SELECT item_id, regexp_replace(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS ref FROM benchmark)"
