@@ -90,7 +90,7 @@ def _names(benchmark: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.xxhash64(whole(F.col("text")))).alias("_key")
+    return F.coalesce(F.col("doc_id"), F.xxhash64(whole(F.col("text")))).alias("__key")
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,43 +99,43 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stats = names.groupBy("size").agg(F.count("*").alias("n")).collect()  # SHINGLE rows at most
     if sum(r["n"] for r in stats) <= MAX_BROADCAST_ROWS:
         names = F.broadcast(names)
-    words = docs.select(_key(), words_of(F.col("text")).alias("_words"))
-    words = words.select("_key", F.size("_words").alias("n"), "_words")
+    words = docs.select(_key(), words_of(F.col("text")).alias("__words"))
+    words = words.select("__key", F.size("__words").alias("n"), "__words")
     met = None
     for size in sorted(r["size"] for r in stats) or [SHINGLE]:
         # Exploding the expression itself, not a column of it, keeps the optimizer from
         # inferring a filter that would split the text again for every shingle.
-        rows = words.select("_key", "n", F.posexplode(_shingles(F.col("_words"), size)).alias("at", "name"))
+        rows = words.select("__key", "n", F.posexplode(_shingles(F.col("__words"), size)).alias("at", "name"))
         part = rows.join(names.filter(F.col("size") == size), "name")
         met = part if met is None else met.unionByName(part)
     align = F.col("at") - F.col("offset")
     fits = (align + F.col("last") >= 0) & (align + F.greatest("first", -align) + F.col("width") <= F.col("n"))
     return (
         met.filter(fits)
-        .select("_key", "item_id", align.alias("align"), "words", "width")
-        .groupBy("_key", "item_id", "align", "words", "width")
+        .select("__key", "item_id", align.alias("align"), "words", "width")
+        .groupBy("__key", "item_id", "align", "words", "width")
         .agg(F.lit(1).alias("one"))
-        .groupBy("_key")
-        .agg(F.collect_list(F.struct("item_id", "align", "words", "width")).alias("cands"))
+        .groupBy("__key")
+        .agg(F.collect_list(F.struct("item_id", "align", "words", "width")).alias("__cands"))
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_hit, items (array<string>, sorted) and contaminated."""
     keyed = docs.select("*", _key())
-    df = keyed.join(candidates(docs, benchmark), "_key", "left")
-    df = df.withColumn("_words", words_of(F.col("text")))
+    df = keyed.join(candidates(docs, benchmark), "__key", "left")
+    df = df.withColumn("__words", words_of(F.col("text")))
 
     def occurrences(c: Column) -> Column:
         """Starts in the document of the item's windows that occur at this alignment."""
         first = F.greatest(F.lit(0), -c["align"])
-        last = F.least(F.size(c["words"]), F.size("_words") - c["align"]) - c["width"]
+        last = F.least(F.size(c["words"]), F.size("__words") - c["align"]) - c["width"]
         return F.when(
             first <= last,
             F.transform(
                 F.filter(
                     F.sequence(first, last),
-                    lambda j: F.slice("_words", c["align"] + j + 1, c["width"])
+                    lambda j: F.slice("__words", c["align"] + j + 1, c["width"])
                     == F.slice(c["words"], j + 1, c["width"]),
                 ),
                 lambda j: F.struct(
@@ -148,11 +148,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<struct<start:int,end:int,item_id:bigint>>")
     df = df.withColumn(
-        "_at",
-        F.when(F.col("cands").isNull(), none).otherwise(F.array_sort(F.flatten(F.transform("cands", occurrences)))),
+        "__at",
+        F.when(F.col("__cands").isNull(), none).otherwise(F.array_sort(F.flatten(F.transform("__cands", occurrences)))),
     )
     cover = F.aggregate(
-        "_at",
+        "__at",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda acc, s: F.struct(
             (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["to"], s["start"]))).alias("n"),
@@ -162,12 +162,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size("__words").cast("long"),
             "n_hit": cover.cast("long"),
-            "items": F.sort_array(F.array_distinct(F.transform("_at", lambda s: s["item_id"].cast("string")))),
+            "items": F.sort_array(F.array_distinct(F.transform("__at", lambda s: s["item_id"].cast("string")))),
         }
     )
-    return df.withColumn("contaminated", F.col("n_hit") > 0).drop("_key", "cands", "_words", "_at")
+    return df.withColumn("contaminated", F.col("n_hit") > 0).drop("__key", "__cands", "__words", "__at")
 
 
 def digest(found: DataFrame) -> DataFrame:

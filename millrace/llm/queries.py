@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import chat, decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 
+from millrace.llm.oracles import ORACLES  # noqa: F401
+
 #: Tokenizer files; a cluster may keep them elsewhere.
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,4 +78,3 @@ QUERIES = {
         op9_quality_rules, op10_quality_classifier,
     )
 }
-ORACLES: dict[str, str] = {}

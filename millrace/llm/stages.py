@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    found = decontamination.contaminated(rows, _table(spark, sf_dir, "benchmark"))
+    return found.filter(~F.col("contaminated")).select("_row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
