@@ -72,7 +72,7 @@ def judge_suggestion(score: Column) -> Column:
     loose = F.when(word.endswith("true") | word.isin("keep", "1"), "keep").when(word.endswith("false") | word.isin("reject", "0"), "reject")
     as_word = lambda c: F.when(c == "true", "keep").when(c == "false", "reject")
     return (
-        F.when(text == "", None).when(parsed.isNull(), loose).when(kind == "BOOLEAN", as_word(text))
+        F.when(text == "", None).when(parsed.isNull() | (kind == "STRING"), loose).when(kind == "BOOLEAN", as_word(text))
         .when(kind.startswith("OBJECT"), as_word(flag))
     )
 
