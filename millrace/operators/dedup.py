@@ -61,20 +61,30 @@ def near_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def near_pairs(docs: DataFrame, references: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """a, b, similarity of verified near matches: among ``docs`` (b < a), or docs a against references b.
 
-    Buckets propose pairs that also agree in numbers and roughly in length; only
-    those that remain carry their shingles into the exact comparison.
+    One pass reduces every eligible text to its bucket keys (written, small).
+    Buckets propose pairs that also agree in numbers and roughly in length, and
+    only the texts of those pairs are shingled again for the exact comparison.
     """
-    left = _eligible(docs, key, text)
-    right = left if references is None else _eligible(references, key, text)
-    head = lambda df: df.select("id", "n", F.xxhash64("numbers").alias("v"), F.explode(_keys("grams")).alias("k"))
-    x, y = head(left).alias("x"), head(right).alias("y")
+    from millrace.operators.storage import stored
+
+    def heads(df: DataFrame) -> DataFrame:
+        e = _eligible(df, key, text)
+        return stored(e.select("id", "n", F.xxhash64("numbers").alias("v"), _keys("grams").alias("ks")))
+
+    def cut(df: DataFrame, wanted: DataFrame, to: str) -> DataFrame:
+        e = _eligible(df.join(wanted.withColumnRenamed("id", key), key, "left_semi"), key, text)
+        return e.select(F.col("id").alias(to), F.col("grams").alias(f"g{to}"), F.col("numbers").alias(f"n{to}"))
+
+    left = heads(docs)
+    right = left if references is None else heads(references)
+    x, y = (df.select("id", "n", "v", F.explode("ks").alias("k")).alias(a) for df, a in ((left, "x"), (right, "y")))
     on = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v"))
     if references is None:
         on = on & (F.col("y.id") < F.col("x.id"))
     ratio = F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= LENGTH_RATIO
-    pairs = x.join(y, on).filter(ratio).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("grams").alias("ga"), F.col("numbers").alias("na")), "a")
-    both = both.join(right.select(F.col("id").alias("b"), F.col("grams").alias("gb"), F.col("numbers").alias("nb")), "b")
+    pairs = stored(x.join(y, on).filter(ratio).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    mine, theirs = (pairs.select(F.col(c).alias("id")).distinct() for c in ("a", "b"))
+    both = pairs.join(cut(docs, mine, "a"), "a").join(cut(docs if references is None else references, theirs, "b"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     both = both.filter(F.col("na") == F.col("nb")).select(
         "a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")
