@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import stored
 from millrace.llm.text import joined, matches, whole
 
 RULE_VERSION = "rules-1"
@@ -75,7 +76,9 @@ def scan_versions(
     if known is not None:
         blobs = blobs.join(known.select("blob"), "blob", "left_anti")
     chosen = rows.select(address, "blob", "body").join(blobs.hint("shuffle_hash"), ["address", "blob"])
-    new = (
+    # Written: it is the ledger's next part, and the join back then reads two plain exchanges,
+    # whose hot blobs adaptive execution can split.
+    new = stored(
         chosen.select("blob", scan(F.col("body")).alias("findings"))
         .groupBy("blob")
         .agg(F.first("findings").alias("findings"))
