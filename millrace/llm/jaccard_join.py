@@ -269,9 +269,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, n, class of every row with an id; edges a, b between classes that join all components)."""
     rows, counters = profile(docs.filter(F.col(key).isNotNull()), key, text)
-    classes = (
-        rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class"), F.count("*").alias("copies"))
-    )
+    # Written, so that the join back to a class of many copies reads plain exchanges, which can be split.
+    classes = stored(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class")))
     order = Order(counters, light_limit(counters, int(rows.count())))
     heavy, light = _entries(docs, classes.select(F.col("class").alias("key"), "n"), key, text, order)
 
@@ -314,7 +313,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
         crossed.select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")), docs, key, text
     )
     edges = first.unionByName(second)
-    members = rows.join(classes.drop("copies"), ["n", "s1", "s2"], "left").select(
+    members = rows.join(classes, ["n", "s1", "s2"], "left").select(
         "key", "n", F.coalesce("class", "key").alias("class")
     )
     return members, edges
