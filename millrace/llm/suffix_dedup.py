@@ -241,13 +241,15 @@ def _wanted() -> Column:
 def removals(addressed: DataFrame) -> DataFrame:
     """doc, from, to: byte ranges to remove (ranges may overlap and repeat)."""
     found = stored(anchors(addressed))
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Reductions are written before they are joined back: a hot anchor's rows then come from a plain
+    # exchange, which adaptive execution can split.
+    often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     shared = stored(found.join(often, "anchor"))
     contexts = shared.groupBy("anchor", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc", "at", "windows", "off")).alias("one")
     )
     contexts = stored(contexts.select("anchor", "context", "copies", "one.*"))
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     wanted = contexts.join(several, "anchor").withColumn("hot", F.col("n") > HOT)
     by_doc = wanted.groupBy("doc").agg(F.collect_list(_wanted()).alias("wanted"))
     # Rows that repeat have one address: their contexts are cut from one of them or from each, to the same end.
