@@ -51,6 +51,8 @@ BUCKETS, BLOCK = 1 << 20, 1 << 14
 MAX_LIGHT = 17
 #: Relative costs: emitting and shuffling one digest, and comparing one list member.
 DIGEST_COST, SCAN_COST = 1.0, 4.0
+#: Words a worker remembers; executors run several workers beside the JVM's heap.
+MEMO = 1 << 17
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,7 +64,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
-            if len(self) > 1_000_000:
+            if len(self) >= MEMO:
                 self.clear()
             self[word] = value
         return value

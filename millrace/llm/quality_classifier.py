@@ -40,13 +40,15 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 EVIDENCE = 200.0
 SMOOTHING = 2.0
 BINS = 4096
+#: Tokens a worker remembers; executors run several workers beside the JVM's heap.
+MEMO = 1 << 17
 
 
 class Tokens(dict):
     """token -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= MEMO:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(token)
         return value
