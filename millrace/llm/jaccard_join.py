@@ -1,16 +1,17 @@
 """Size-aware heavy-light Jaccard join on word shingles, with components.
 
-Two texts link when 100 * |intersection| >= 90 * |union| of their sets of
-distinct three-word shingles (64-bit hashes).  Texts of equal sets form one class; links
+Two texts link when 100 * |intersection| >= p * |union| of their sets of
+distinct shingles of k words (64-bit hashes); a ``Rule`` holds k and p, by default
+the three words and 90 of ``op3``.  Texts of equal sets form one class; links
 are sought between classes, represented by their least row.
 
-Light sets.  While a union has fewer than 20 shingles, a link means that the
-sets differ by one shingle at most.  A set of n therefore emits the digests of
-its n subsets of size n - 1 and its own; an equal digest is a link, with no
-verification.
+Light sets.  While a union has fewer than 200 / (100 - p) shingles (20 at 90, 10
+at 80), a link means that the sets differ by one shingle at most.  A set of n
+therefore emits the digests of its n subsets of size n - 1 and its own; an equal
+digest is a link, with no verification.
 
 Heavy sets.  Shingles are ordered from rare to common, and linked sets share one
-of their first n - ceil(0.9 n) + 1.  Inverted lists over these prefixes are
+of their first n - ceil(p n / 100) + 1.  Inverted lists over these prefixes are
 scanned: in each list the set that holds the shingle earliest is the hub.
 Length and positional bounds discard pairs that cannot link, the others are
 verified on the whole sets.  A first round compares each list's members with its
@@ -45,10 +46,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.shared import stored
 
-SHINGLE = 3
 BUCKETS, BLOCK = 1 << 20, 1 << 14
-#: Below this size a set of n has n digests to emit; a union under 20 differs by one at most.
-MAX_LIGHT = 17
 #: Relative costs: emitting and shuffling one digest, and comparing one list member.
 DIGEST_COST, SCAN_COST = 1.0, 4.0
 #: Words a worker remembers; executors run several workers beside the JVM's heap.
@@ -58,6 +56,37 @@ LOWER = bytes.maketrans(UPPER, UPPER.lower())
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle and the least similarity in hundredths (below 100), with the bounds that follow."""
+
+    shingle: int = 3
+    percent: int = 90
+
+    def prefix_size(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + 1
+
+    @property
+    def least_light(self) -> int:
+        """The least size at which sets that differ by one shingle link."""
+        return -(-100 // (100 - self.percent)) - 1
+
+    @property
+    def max_light(self) -> int:
+        """The largest size whose links differ by one shingle at most, whatever the other set."""
+        n = 0
+        while 100 * (n + 1) // self.percent * (100 - self.percent) < 200:
+            n += 1
+        return n
+
+    def linked(self, overlap: Column, a: Column, b: Column) -> Column:
+        return 100 * overlap >= self.percent * (a + b - overlap)
+
+
+#: The rule of ``op3``.
+CONTRACT = Rule()
+
+
 class Words(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
@@ -75,17 +104,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str, memo: Words) -> np.ndarray:
-    """Sorted distinct hashes of the text's three-word shingles; fewer words are one shingle."""
+def shingle_set(text: str, memo: Words, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of ``size`` words; fewer words are one shingle."""
     words = text.encode().translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
     own = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    if len(own) < SHINGLE:
+    if len(own) < size:
         return _mix(np.array([sum(int(h) * (2 * i + 3) for i, h in enumerate(own)) + len(own) & (1 << 64) - 1], np.uint64))
-    n = len(own) - SHINGLE + 1
+    n = len(own) - size + 1
     h = own[:n]
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         h = _mix(h * _M1 + own[k : k + n])
     return np.unique(h)
 
@@ -112,7 +141,7 @@ class Order:
     light: int
 
 
-def profile(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
+def profile(docs: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     """(key, n, s1, s2 of every row; the counters): one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +150,7 @@ def profile(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
         for b in batches:
             n, sums = [], []
             for t in b.column(1):
-                found = shingle_set(t.as_py() or "", memo)
+                found = shingle_set(t.as_py() or "", memo, rule.shingle)
                 np.add.at(counters, (found & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 n.append(len(found))
                 sums.append(_signature(found))
@@ -156,44 +185,36 @@ def profile(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
 
 
 def light_limit(counters: np.ndarray, rows: int) -> int:
-    """The largest size whose digests cost less than scanning its prefix's lists."""
+    """The largest size whose digests cost less than scanning its prefix's lists, under ``CONTRACT``."""
     held = counters[counters > 0]
     # A prefix holds a set's rarest shingles: their lists are those of the lower half of the counters.
     length = float(np.median(held)) / max(1.0, len(held) / max(1, min(rows, len(held)))) if len(held) else 1.0
     best = 8
-    for n in range(9, MAX_LIGHT + 1):
-        if DIGEST_COST * (n + 1) <= SCAN_COST * prefix_size(n) * max(1.0, length):
+    for n in range(9, CONTRACT.max_light + 1):
+        if DIGEST_COST * (n + 1) <= SCAN_COST * CONTRACT.prefix_size(n) * max(1.0, length):
             best = n
     return best
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-9 * n // 10) + 1
-
-
-def _linked(overlap: Column, a: Column, b: Column) -> Column:
-    return 100 * overlap >= 90 * (a + b - overlap)
-
-
-def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Order) -> tuple[DataFrame, DataFrame]:
+def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Order, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(prefix entries of the heavy classes, digests of the light ones)."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, own = Words(), sent.value
-        top = -(-10 * own.light // 9)
+        top = -(-100 * own.light // rule.percent)
         for b in batches:
             n, heads, digests = [], [], []
             for t in b.column(1):
-                found = shingle_set(t.as_py() or "", memo)
+                found = shingle_set(t.as_py() or "", memo, rule.shingle)
                 size = len(found)
                 n.append(size)
                 if size > own.light:
                     rarity = own.counters[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    heads.append(found[np.lexsort((found, rarity))[: prefix_size(size)]])
+                    heads.append(found[np.lexsort((found, rarity))[: rule.prefix_size(size)]])
                 else:
                     heads.append(found[:0])
-                if 9 <= size <= top:
+                if rule.least_light <= size <= top:
                     other = _mix(found * _M1 + _M2)
                     # row 0 is the set itself, the others lack one shingle each
                     one = np.concatenate([[found.sum(dtype=np.uint64)], found.sum(dtype=np.uint64) - found])
@@ -226,7 +247,7 @@ def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Or
     return heavy, light.select("key", "n", "at", "d.s1", "d.s2")
 
 
-def _bounds(x: str, y: str) -> Column:
+def _bounds(x: str, y: str, rule: Rule) -> Column:
     """Whether sizes and the places of a shared shingle leave room for a link.
 
     Of the shingles before it only those in lists of several members can match.
@@ -234,10 +255,10 @@ def _bounds(x: str, y: str) -> Column:
     nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
     rest = F.least(nx - F.col(f"{x}at"), ny - F.col(f"{y}at"))
     most = rest + F.least(F.col(f"{x}before"), F.col(f"{y}before"))
-    return (10 * nx >= 9 * ny) & (10 * ny >= 9 * nx) & _linked(most, nx, ny)
+    return (100 * nx >= rule.percent * ny) & (100 * ny >= rule.percent * nx) & rule.linked(most, nx, ny)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     pairs = stored(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
@@ -247,7 +268,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = [shingle_set(t.as_py() or "", memo) for t in part.column(1)]
+                found = [shingle_set(t.as_py() or "", memo, rule.shingle) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), _binaries(found)], ["key", "found"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -262,19 +283,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 90 * (len(x) + len(y) - both))
+                keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(both.select("a", "b", "fa", "fb").mapInArrow(check, "a bigint, b bigint"))
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> tuple[DataFrame, DataFrame]:
     """(key, n, class of every row with an id; edges a, b between classes that join all components)."""
-    rows, counters = profile(docs.filter(F.col(key).isNotNull()), key, text)
+    rows, counters = profile(docs.filter(F.col(key).isNotNull()), key, text, rule)
     # Written, so that the join back to a class of many copies reads plain exchanges, which can be split.
     classes = stored(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class")))
-    order = Order(counters, light_limit(counters, int(rows.count())))
-    heavy, light = _entries(docs, classes.select(F.col("class").alias("key"), "n"), key, text, order)
+    # Beyond the rule's largest light size, digests of one deletion would miss links.
+    order = Order(counters, min(light_limit(counters, int(rows.count())), rule.max_light))
+    heavy, light = _entries(docs, classes.select(F.col("class").alias("key"), "n"), key, text, order, rule)
 
     own = light.filter("at = 0").select("s1", "s2", F.col("key").alias("a"), F.col("n").alias("an"))
     less = light.filter("at > 0").select("s1", "s2", F.col("key").alias("b"), F.col("n").alias("bn"))
@@ -288,10 +310,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     )
     hubs = hubs.select("token", "hub.*").toDF("token", "hkey", "hn", "hat", "hbefore")
     entries = stored(entries.join(hubs, "token"))
-    stars = entries.filter((F.col("key") != F.col("hkey")) & _bounds("", "h")).select(
+    stars = entries.filter((F.col("key") != F.col("hkey")) & _bounds("", "h", rule)).select(
         F.least("key", "hkey").alias("a"), F.greatest("key", "hkey").alias("b")
     )
-    first = stored(_verified(stars, docs, key, text).unionByName(subset))
+    first = stored(_verified(stars, docs, key, text, rule).unionByName(subset))
     roots = stored(components(first))
 
     def root(df: DataFrame, of: str, name: str) -> DataFrame:
@@ -309,10 +331,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     # Pairs outside the hub's component are met from the lesser key alone; the hub was compared before.
     once = (F.col("yroot") == F.col("hroot")) | (F.col("xkey") < F.col("ykey"))
     crossed = x.join(y, "token").filter(
-        (F.col("xroot") != F.col("yroot")) & once & (F.col("ykey") != F.col("hkey")) & _bounds("x", "y")
+        (F.col("xroot") != F.col("yroot")) & once & (F.col("ykey") != F.col("hkey")) & _bounds("x", "y", rule)
     )
     second = _verified(
-        crossed.select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")), docs, key, text
+        crossed.select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")), docs, key, text, rule
     )
     edges = first.unionByName(second)
     members = rows.join(classes, ["n", "s1", "s2"], "left").select(
@@ -321,24 +343,24 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     return members, edges
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of every row."""
-    members, edges = links(docs, key, text)
+    members, edges = links(docs, key, text, rule)
     roots = components(edges)
     out = members.join(roots, F.col("class") == F.col("node"), "left").select(
         F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("root", "class").alias("component_id"), F.col("class").alias("class_id"),
     )
     # Rows without an id link with nothing.
-    lone = profile_sizes(docs.filter(F.col(key).isNull()), text)
+    lone = profile_sizes(docs.filter(F.col(key).isNull()), text, rule)
     return out.unionByName(lone)
 
 
-def profile_sizes(docs: DataFrame, text: str) -> DataFrame:
+def profile_sizes(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for b in batches:
-            n = [len(shingle_set(t.as_py() or "", memo)) for t in b.column(0)]
+            n = [len(shingle_set(t.as_py() or "", memo, rule.shingle)) for t in b.column(0)]
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none], ["doc_id", "n_shingles", "component_id", "class_id"])
 

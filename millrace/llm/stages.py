@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard_join, packing, quality_classifier, secrets
 
+#: Near copies share four fifths of their five-word shingles; ``op3``'s own rule binds that query alone.
+NEAR = jaccard_join.Rule(shingle=5, percent=80)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component (the least id) and every document without id."""
-    found = jaccard_join.join_components(docs)
+    found = jaccard_join.join_components(docs, rule=NEAR)
     gone = found.filter("component_id <> doc_id").select("doc_id")
     left = docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
