@@ -5,7 +5,9 @@
 2. Tokens that look obfuscated (digits or symbols amid letters, letters spaced
    out, letters repeated) become lattices: each character may stand for itself,
    for the letters it imitates, or for nothing.  Viterbi finds the likeliest
-   string under the language model and the channel's costs.
+   string under the language model and the channel's costs.  In letters spaced
+   out a gap may also end a word, and every part of such a run that reads as a
+   lexicon word counts, whatever one-letter or spaced words stand beside it.
 3. A document's score is a logistic function of the weights of the lexicon
    words among its plain and restored words.
 
@@ -38,12 +40,15 @@ SEPARATORS = " .-_*~"
 SUSPECT = re.compile(r"[0-9@$!|+€][^a-z]*[a-z]|[a-z][^a-z]*[0-9@$!|+€]|[a-z][.\-_*~]+[a-z]|([a-z])\1\1")
 #: Decoration, not obfuscation: punctuation at the ends and a symbol repeated three times or more at the end.
 PUNCTUATION = ".,;:?\"'()#*&%<>!"
+#: What may enclose a spaced-out letter.
+EDGE = PUNCTUATION + "“”„‘’«»¡¿…[]{}"
 DOUBLE = re.compile(r"(.)\1+")
 WORD = re.compile(r"[^\W\d_]+")
 #: So many single characters in a row are read as one word spaced out.
 SPACED = 3
-#: Channel costs in nats: an imitation, a dropped separator, a repeated letter, a symbol that stays.
-C_IMITATE, C_DROP, C_REPEAT, C_KEEP = 0.5, 0.2, 0.3, 6.0
+#: Channel costs in nats: an imitation, a dropped separator, a repeated letter, a symbol that stays,
+#: a gap between spaced letters that ends a word.
+C_IMITATE, C_DROP, C_REPEAT, C_KEEP, C_BREAK = 0.5, 0.2, 0.3, 6.0, 1.0
 MIN_DOCS, MAX_WORDS = 4, 5_000
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -65,13 +70,14 @@ class Model:
         self._squeezed: dict[str, set[str]] = {}
         for w in self.weights:
             self._squeezed.setdefault(DOUBLE.sub(r"\1", w), set()).add(w)
+        self._starts = {w[: i + 1] for w in self._squeezed for i in range(len(w))}
 
     def cost(self, context: str, ch: str) -> float:
         """Nats of a letter after two others, add-one smoothed over 27 letters and the end."""
         return -math.log((self.grams.get(context + ch, 0) + 0.1) / (self.contexts.get(context, 0) + 2.8))
 
     def restore(self, token: str) -> str:
-        """The likeliest plain word that ``token`` obfuscates."""
+        """The likeliest plain word that ``token`` obfuscates; words, if it has spaces."""
         if (known := self._memo.get(token)) is None:
             if len(self._memo) > 200_000:
                 self._memo.clear()
@@ -90,6 +96,8 @@ class Model:
             best: dict[str, tuple[float, str]] = {}
             for state, (c, out) in states.items():
                 moves = [] if drop is None else [(state, c + drop, out)]
+                if ch == " " and state != "^^":
+                    moves.append(("^^", c + self.cost(state, "$") + C_BREAK, out + " "))
                 for x, price in arcs:
                     moves.append((state[1] + x, c + price + self.cost(state, x), out + x))
                     if x == state[1]:
@@ -117,32 +125,68 @@ class Model:
 
     def words(self, text: str) -> set[str]:
         """Plain words and restored ones."""
-        tokens = text.lower().split()
+        low = text.lower()
+        tokens = low.split()
         found = {w for t in set(tokens) for w in self._token(t)}
-        return found | self._spaced(tokens)
+        return found | self._spaced(low, tokens)
 
-    def _spaced(self, tokens: list[str]) -> set[str]:
-        """Words restored from runs of single characters."""
-        found, run = set(), []
-        for i in [i for i, t in enumerate(tokens) if len(t) == 1] + [-1]:
+    def _spaced(self, low: str, tokens: list[str]) -> set[str]:
+        """Words restored from runs of single characters, which punctuation may enclose."""
+        found, run, places = set(), [], None
+        for i in [i for i, t in enumerate(tokens) if len(t) == 1 or len(t.strip(EDGE)) == 1] + [-1]:
             if run and i != run[-1] + 1:
                 if len(run) >= SPACED:
-                    found |= self._known(self.restore("".join(tokens[k] for k in run)))
+                    places = places or [m.span() for m in re.finditer(r"\S+", low)]
+                    letters = [tokens[k] if len(tokens[k]) == 1 else tokens[k].strip(EDGE) for k in run]
+                    gaps = [places[k + 1][0] - places[k][1] for k in run[:-1]]
+                    found |= self._parts(letters)
+                    for part in self._split(letters, gaps):
+                        for w in {self.restore("".join(part)), *self.restore(" ".join(part)).split()}:
+                            found |= self._known(w)
                 run = []
             run.append(i)
         return found
 
+    def _split(self, letters: list[str], gaps: list[int]) -> Iterator[list[str]]:
+        """The parts of a run between gaps wider than its least one."""
+        at = 0
+        for k in [k for k, gap in enumerate(gaps, 1) if gap > min(gaps)] + [len(letters)]:
+            if k - at >= SPACED:
+                yield letters[at:k]
+            at = k
+
+    def _parts(self, letters: list[str]) -> set[str]:
+        """The lexicon's words that any part of a run spells, letters imitated or repeated."""
+        found: set[str] = set()
+        open_: dict[str, int] = {}  # what parts that end here have spelt -> their most characters
+        for ch in letters:
+            arcs = (ch if ch.isalpha() else "") + IMITATES.get(ch, "")
+            if not arcs:
+                continue  # a separator
+            then: dict[str, int] = {}
+            for spelt, n in [("", 0), *open_.items()]:
+                for x in arcs:
+                    for to in (spelt + x, spelt) if spelt[-1:] == x else (spelt + x,):
+                        if to in self._starts and then.get(to, 0) <= n:
+                            then[to] = n + 1
+            open_ = then
+            for spelt, n in open_.items():
+                if n >= SPACED:
+                    found |= self._squeezed.get(spelt, set())
+        return found
+
     def score(self, text: str) -> float:
         found: set[str] = set()
         if self.weights:
-            tokens = text.lower().split()
+            low = text.lower()
+            tokens = low.split()
             for t in set(tokens):
                 if (hit := self._hits.get(t)) is None:
                     if len(self._hits) > 500_000:
                         self._hits.clear()
                     hit = self._hits[t] = tuple(w for w in self._token(t) if w in self.weights)
                 found.update(hit)
-            found |= self._spaced(tokens) & self.weights.keys()
+            found |= self._spaced(low, tokens) & self.weights.keys()
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.bias + sum(self.weights[w] for w in sorted(found))))))
 
 
@@ -205,9 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
             .limit(MAX_WORDS)
             .collect()
         )
-        model.weights = {r.word: r.odds for r in lexicon}
         # Documents without any lexicon word are mostly clean; one sure word must outweigh this.
-        model.bias = math.log(toxic / clean) - 1.0
+        model = Model(model.grams, {r.word: r.odds for r in lexicon}, math.log(toxic / clean) - 1.0)
     by_word.unpersist()
     return model
 
