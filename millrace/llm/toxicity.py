@@ -1,7 +1,8 @@
 """Toxicity scoring behind a noisy-channel deobfuscator.
 
-1. A character trigram language model and a word lexicon are fitted on a bounded
-   hash-ordered sample of labelled rows (fold 0 is never read).
+1. A character trigram language model counts all texts, labelled or not.  A word
+   lexicon is fitted on a bounded hash-ordered sample of labelled rows (labels of
+   fold 0 are never read).
 2. Tokens that look obfuscated (digits or symbols amid letters, letters spaced
    out, letters repeated) become lattices: each character may stand for itself,
    for the letters it imitates, or for nothing.  Viterbi finds the likeliest
@@ -43,6 +44,7 @@ PUNCTUATION = ".,;:?\"'()#*&%<>!"
 #: What may enclose a spaced-out letter.
 EDGE = PUNCTUATION + "“”„‘’«»¡¿…[]{}"
 DOUBLE = re.compile(r"(.)\1+")
+PLAIN = re.compile(r"(?<![\w@$!|+])[a-z]+(?![\w@$!|+])")
 WORD = re.compile(r"[^\W\d_]+")
 #: So many single characters in a row are read as one word spaced out.
 SPACED = 3
@@ -192,27 +194,34 @@ class Model:
 
 def _counted(texts: Iterable[str]) -> Counter:
     grams: Counter = Counter()
-    for text in texts:
-        for w in re.findall(r"(?<![\w@$!|+])[a-z]+(?![\w@$!|+])", text.lower()):
+    words: Counter = Counter()
+
+    def add() -> None:
+        for w, n in words.items():
             s = f"^^{w}$"
             for i in range(len(s) - 2):
-                grams[s[i : i + 3]] += 1
+                grams[s[i : i + 3]] += n
+        words.clear()
+
+    for text in texts:
+        words.update(PLAIN.findall(text.lower()))
+        if len(words) > 100_000:
+            add()
+    add()
     return grams
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    """The model of at most ``limit`` labelled rows.  What reaches the driver is bounded: trigrams
-    of 26 letters, and the ``MAX_WORDS`` words of highest odds."""
+    """Trigrams of all ``docs``; weights and bias of at most ``limit`` labelled rows.  What reaches the
+    driver is bounded: trigrams of 26 letters, and the ``MAX_WORDS`` words of highest odds."""
     spark = docs.sparkSession
     rows = one_of_each(labelled_sample(docs, labels, "toxic", limit)).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for b in batches:
-            found += _counted(b.column(0).to_pylist())
+        found = _counted(t.as_py() or "" for b in batches for t in b.column(0))
         yield pa.RecordBatch.from_pydict({"gram": list(found), "n": list(found.values())}, pa.schema([("gram", pa.string()), ("n", pa.int64())]))
 
-    counts = rows.select("text").mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     model = Model(dict(sorted((r.gram, r.n) for r in counts.collect())))
     language = spark.sparkContext.broadcast(model.grams)
 
