@@ -22,17 +22,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component (the least id) and every document without id."""
-    found = jaccard_join.join_components(docs, rule=NEAR)
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    left = docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    """One row of each component (the least id) and every document without id."""
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
-        return left
+        found = jaccard_join.join_components(docs, rule=NEAR)
+        gone = found.filter("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # Ids repeat, so rows (id and text) are decided.
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_row", row)
+    found = jaccard_join.join_components(keyed, key="_row", rule=NEAR).filter("doc_id IS NOT NULL")
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = keyed.filter("_row IS NOT NULL").select("_row", "doc_id").distinct()
+    kept = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_kept"))
     # Rows that repeat as a whole, or with other metadata only: one of each stays.
-    keyed = left.withColumn("_hash", F.xxhash64("text"))
-    with_id = keyed.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_hash"])
-    return with_id.unionByName(keyed.filter("doc_id IS NULL")).drop("_hash")
+    left = keyed.join(kept.select("_kept._row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return left.unionByName(keyed.filter("_row IS NULL")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
