@@ -1,27 +1,34 @@
 """Importance resampling of documents by hashed n-gram models.
 
-Two generative models over ``BUCKETS`` hashed unigrams and bigrams are counted:
-one of the target (a bounded sample of rows labelled good) and one of the raw
-corpus (every document).  A document's weight is its mean log-ratio of target to
-raw; scaled and perturbed by Gumbel noise, the k largest are kept.  k is the
-number of documents whose ratio reaches the threshold that best separates the
-labelled sample, so the target's share decides it.
-
-Beside words, runs of other characters and four markers count as tokens: a token
-equal to the last one, a line seen before, an upper-case word, and no text.
+Two generative models over ``BUCKETS`` hashed unigrams and bigrams (a text's
+start and end count as tokens) are counted: one of the target (a bounded sample
+of rows labelled good) and one of the raw corpus (every document).  A document's
+log weight is its mean log-ratio of target to raw times its number of n-grams,
+``EVIDENCE`` at most, because n-grams of a long text are not independent.
+
+Sampling.  The inverse temperature and the prior are those of a logistic fit of
+the labelled sample to the log weights, so tempered weights are odds of being
+good.  Each document's tempered weight is perturbed by Gumbel noise and the k
+largest keys stay: a sample without replacement, in proportion to the weights.
+k is a parameter; by default it is the expected number of good documents (the
+sum of their probabilities) and ``MARGIN`` of all documents, in favour of
+keeping.  Noise is a hash of the seed, the id and the text.
 
 Counting is a pass with a fixed-size result (buckets); scoring is a second pass
-that writes one small row for each document to the shared checkpoint folder.
-The k-th largest key is found by counting fixed-size histograms of ever
-narrower ranges, so no sort gathers the documents.  Noise is a hash of the id
-and the text: repeated rows get equal keys, and equal keys at the boundary are
-kept together.  Null texts count as empty.  Without labelled good rows all
-documents are kept.
+that writes one row for each document to the shared checkpoint folder.  The k-th
+largest key is found by counting fixed-size histograms of ever narrower ranges,
+so no sort gathers the documents.
+
+Null texts count as empty; a text of any length is counted whole.  Null ids are
+carried along.  Repeated rows get equal keys, and equal keys at the boundary are
+kept together.  Without labelled good rows, and of an empty table, all documents
+are kept; other columns pass through ``keep`` and are ignored by ``select``.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,14 +41,17 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import stored
 from millrace.llm.training import MAX_LABELLED, labelled_sample
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Nats of evidence that a document's mean ratio counts for, whatever its length.
-EVIDENCE = 200.0
-SMOOTHING = 2.0
+#: N-grams of evidence that a document's mean ratio counts for at most.
+EVIDENCE = 100
+#: Share of all documents that is kept beyond the expected number of good ones.
+MARGIN = 0.01
+SMOOTHING = 1.0
 BINS = 4096
 #: Tokens a worker remembers; executors run several workers beside the JVM's heap.
 MEMO = 1 << 17
+_PAIR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Tokens(dict):
@@ -55,25 +65,25 @@ class Tokens(dict):
 
 
 def features(text: str, memo: Tokens) -> np.ndarray:
-    """Bucket numbers of the tokens, bigrams and markers of a text."""
+    """Bucket numbers of the unigrams and bigrams of a text; never empty."""
     tokens = TOKEN.findall(text)
-    own = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
-    pairs = (own[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (own[1:] >> np.uint64(7))
-    lines = [x for x in text.split("\n") if x.strip()]
-    marks = (
-        [memo["\0same"]] * int((own[:-1] == own[1:]).sum())
-        + [memo["\0line"]] * (5 * (len(lines) - len(set(lines))))
-        + [memo["\0upper"]] * sum(1 for t in tokens if len(t) > 1 and t.isupper())
-        + [memo["\0none"]] * (not tokens)
-    )
-    every = np.concatenate([own, pairs * np.uint64(0xD6E8FEB86659FD93), np.array(marks, np.uint64)])
+    own = np.fromiter(map(memo.__getitem__, ["\0start", *tokens, "\0end"]), np.uint64, len(tokens) + 2)
+    pairs = (own[:-1] * _PAIR) ^ (own[1:] >> np.uint64(7))
+    every = np.concatenate([own[1:-1], pairs * _SPREAD])
     return (every >> np.uint64(11)).astype(np.int64) % BUCKETS
 
 
 @dataclass
 class Model:
-    ratio: np.ndarray  # log target over raw, by bucket
-    threshold: float
+    """Log target over raw by bucket; probability of good = logistic(slope * log weight + prior)."""
+
+    ratio: np.ndarray
+    slope: float
+    prior: float
+
+    def log_weight(self, text: str, memo: Tokens) -> float:
+        found = self.ratio[features(text, memo)]
+        return float(found.mean()) * min(len(found), EVIDENCE)
 
 
 def _counts(df: DataFrame) -> np.ndarray:
@@ -94,66 +104,75 @@ def _counts(df: DataFrame) -> np.ndarray:
     return out
 
 
-def _mean(text: str, memo: Tokens, ratio: np.ndarray) -> float:
-    return float(ratio[features(text, memo)].mean())
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The log of target over raw of two count vectors, smoothed."""
+    share = lambda n: (n + SMOOTHING) / (n.sum() + SMOOTHING * len(n))
+    return np.log(share(target) / share(raw))
+
+
+def calibrate(weights: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """(slope, prior) of a ridge logistic fit by Newton's method; (1, 0) if one class is missing."""
+    if good.all() or not good.any():
+        return 1.0, 0.0
+    x = np.stack([weights, np.ones(len(weights))], 1)
+    w, ridge = np.zeros(2), np.array([1e-2, 1e-9])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (good - p) - ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
+        w += np.clip(step, -1, 1)
+        if abs(step).max() < 1e-9:
+            break
+    return max(float(w[0]), 1e-6), float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
-    sample = labelled_sample(docs, labels, "quality", limit)
+    """The models of target and raw text and the temperature; None without rows labelled good."""
+    sample = stored(labelled_sample(docs, labels, "quality", limit))
     target = _counts(sample.filter("quality = 1"))
     if not target.sum():
         return None
-    raw = _counts(docs)
-    share = lambda n: (n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)
-    ratio = np.log(share(target) / share(raw))
+    ratio = log_ratios(target, _counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Tokens()
+        memo, own = Tokens(), Model(sent.value, 1.0, 0.0)
         for b in batches:
-            means = [_mean(t.as_py() or "", memo, sent.value) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(means), b.column(1).cast(pa.int32())], ["mean", "quality"])
-
-    rows = sample.select("text", "quality").mapInArrow(run, "mean double, quality int").collect()  # ``limit`` rows at most
-    rows.sort(key=lambda r: (r["mean"], r["quality"]))
-    # The cut that errs least on the sample; a good document lost weighs three times a bad one kept.
-    bad = sum(r["quality"] != 1 for r in rows)
-    best, threshold, cost = bad, -np.inf, bad
-    for i, r in enumerate(rows):
-        cost += 3 if r["quality"] == 1 else -1
-        if cost < best:
-            after = rows[i + 1]["mean"] if i + 1 < len(rows) else r["mean"] + 1
-            best, threshold = cost, (r["mean"] + after) / 2
-    return Model(ratio, float(threshold))
-
-
-def _keys(ids: list, texts: pa.Array, memo: Tokens, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, mean log-ratios) of documents."""
-    means, seeds = np.zeros(len(ids)), np.zeros(len(ids), np.uint64)
-    for i, (key, text) in enumerate(zip(ids, texts, strict=True)):
-        body = text.as_py() or ""
-        means[i] = _mean(body, memo, ratio)
-        seeds[i] = xxhash.xxh3_64_intdigest(body, (key or 0) & (1 << 64) - 1)
-    uniform = ((seeds >> np.uint64(11)).astype(float) + 0.5) / 2**53
-    return EVIDENCE * means - np.log(-np.log(uniform)), means
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, log_ratio (mean), gumbel_key and text_hash of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.ratio)
+            weights = [own.log_weight(t.as_py() or "", memo) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(weights, pa.float64()), b.column(1).cast(pa.int32())], ["weight", "quality"])
+
+    rows = sample.select("text", "quality").mapInArrow(run, "weight double, quality int").collect()  # ``limit`` rows at most
+    rows.sort(key=lambda r: (r["weight"], r["quality"]))
+    return Model(ratio, *calibrate(np.array([r["weight"] for r in rows]), np.array([r["quality"] == 1 for r in rows], float)))
+
+
+def gumbel(seed: int, key: int | None, text: str) -> float:
+    """Standard Gumbel noise, a hash of seed, id and text."""
+    own = xxhash.xxh3_64_intdigest(struct.pack("<qqQ", seed, key or 0, xxhash.xxh3_64_intdigest(text)))
+    return -float(np.log(-np.log(((own >> 11) + 0.5) / 2**53)))
+
+
+def score(docs: DataFrame, model: Model, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (doc_id alone by default) with log_weight and gumbel_key of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    columns = columns or ["doc_id"]
+    rows = docs.select(*columns, F.col("doc_id").alias("_id"), F.col("text").alias("_body"))
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Tokens()
+        memo, own = Tokens(), sent.value
         for b in batches:
-            keys, means = _keys(b.column(0).to_pylist(), b.column(1), memo, sent.value)
+            weights, keys = [], []
+            for key, text in zip(b.column(n).to_pylist(), b.column(n + 1), strict=True):
+                body = text.as_py() or ""
+                weights.append(own.log_weight(body, memo))
+                keys.append(own.slope * weights[-1] + gumbel(seed, key, body))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(means), pa.array(keys), b.column(2)],
-                ["doc_id", "log_ratio", "gumbel_key", "text_hash"],
+                [*b.columns[:n], pa.array(weights, pa.float64()), pa.array(keys, pa.float64())], [*columns, "log_weight", "gumbel_key"]
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
-        run, "doc_id bigint, log_ratio double, gumbel_key double, text_hash bigint"
-    )
+    schema = rows.select(*columns).schema.add("log_weight", "double").add("gumbel_key", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -176,39 +195,32 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def decide(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model | None, DataFrame | None, float]:
-    """(model, scored rows, least key that is kept)."""
-    model = fit(docs, labels, limit)
-    if model is None:
-        return None, None, -np.inf
-    scored = stored(score(docs, model))
-    k = scored.filter(F.col("log_ratio") >= model.threshold).count()
-    return model, scored, kth_largest(scored, "gumbel_key", k) if k else np.inf
+def sampled(scored: DataFrame, model: Model, k: int | None = None) -> DataFrame:
+    """``scored`` (a stored table) with kept: the k largest keys."""
+    good = 1 / (1 + F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), -(model.slope * F.col("log_weight") + model.prior)))))
+    n, expected = scored.agg(F.count("*"), F.sum(good)).first()
+    if k is None:
+        k = min(n, round((expected or 0.0) + MARGIN * n))
+    cut = -np.inf if k >= n else np.inf if k <= 0 else kth_largest(scored, "gumbel_key", k)
+    return scored.withColumn("kept", F.col("gumbel_key") >= float(cut))
 
 
-def select(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, text_hash, log_ratio, gumbel_key and kept of every document."""
-    model, scored, cut = decide(docs, labels, limit)
+def select(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, k: int | None = None, seed: int = 0) -> DataFrame:
+    """doc_id, log_weight, gumbel_key and kept of every document."""
+    model = fit(docs, labels, limit)
     if model is None:
-        return docs.select(
-            "doc_id", F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("gumbel_key"),
-            F.lit(0).cast("long").alias("text_hash"), F.lit(True).alias("kept"),
-        )
-    return scored.withColumn("kept", F.col("gumbel_key") >= cut)
+        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"), F.lit(True).alias("kept"))
+    return sampled(stored(score(docs, model, seed)), model, k)
 
 
-def keep(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; no text is shuffled."""
-    model, _, cut = decide(docs, labels, limit)
+def keep(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, k: int | None = None, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.  Rows are written beside their
+    keys, so no text is shuffled or tokenized again."""
+    model = fit(docs, labels, limit)
     if model is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Tokens()
-        for b in batches:
-            keys, _ = _keys(b.column(at_id).to_pylist(), b.column(at_text), memo, sent.value)
-            yield b.filter(pa.array(keys >= cut))
-
-    return docs.mapInArrow(run, docs.schema)
+    # Numbered names, so that no column of ``docs`` clashes with the keys.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.select("*", F.col("doc_id").alias("__id"), F.col("text").alias("__text")).toDF(*names, "doc_id", "text")
+    rows = sampled(stored(score(held, model, seed, names)), model, k)
+    return rows.filter("kept").select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)])

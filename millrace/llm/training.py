@@ -17,8 +17,9 @@ def fold(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id, text and ``label`` of the ``limit`` training rows that come first in hash order.
 
-    The chosen ids number ``limit`` at most, so they are broadcast and no text
-    is shuffled.  Ids that are null or labelled inconsistently are left out.
+    The chosen ids number ``limit`` at most, so they are broadcast and only their
+    texts are shuffled: of an id that repeats, the least text counts.  Ids that are
+    null or labelled inconsistently are left out.
     """
     one = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -28,7 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
         .filter(fold(F.col("doc_id")) != 0)
     )
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", label)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:

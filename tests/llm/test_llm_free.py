@@ -1,6 +1,7 @@
 """The free-style operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -291,10 +292,65 @@ def test_quality_classifier(spark):
     docs, labels = labelled(spark)
     rows = quality_classifier.select(docs, labels).join(labels, "doc_id").collect()
     good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
-    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.05 * len(bad)
-    kept = quality_classifier.keep(docs.withColumn("n", F.lit("x")), labels)
-    assert kept.columns[-1] == "n" and kept.filter("doc_id < 700").count() == sum(r.kept for r in rows)
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+    kept = quality_classifier.keep(docs.withColumns({"n": F.lit("x"), "kept": F.lit(2), "c0": F.lit(3)}), labels)
+    assert kept.columns[-3:] == ["n", "kept", "c0"] and kept.filter("doc_id < 700").count() == sum(r.kept for r in rows)
     assert quality_classifier.select(docs, labels.limit(0)).filter("kept").count() == docs.count()
+    assert quality_classifier.keep(docs.limit(0), labels).count() == quality_classifier.select(docs.limit(0), labels).count() == 0
+
+
+def test_quality_ratios_and_draw_against_brute_force(spark):
+    """Counts, ratios, weights, noise and the choice of k keys, restated with plain dictionaries."""
+    docs, labels = labelled(spark, 120)
+    twice = docs.filter("doc_id < 5")
+    docs = docs.unionByName(twice).unionByName(spark.createDataFrame([(9000, "word " * 40_000, None, None, None)], SCHEMA))
+    grams = lambda t: quality_classifier.features(t or "", quality_classifier.Tokens()).tolist()
+    raw, target = defaultdict(int), defaultdict(int)
+    good = {r.doc_id for r in labels.collect() if r.doc_id is not None and r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 5}
+    seen = set()
+    for r in docs.collect():
+        for g in grams(r.text):
+            raw[g] += 1
+            target[g] += r.doc_id in good and r.doc_id not in seen
+        seen.add(r.doc_id)
+    size, (nt, nr) = quality_classifier.BUCKETS, (sum(target.values()), sum(raw.values()))
+    ratio = {g: math.log((target[g] + 1) / (nt + size) / ((raw[g] + 1) / (nr + size))) for g in raw}
+    model = quality_classifier.fit(docs, labels)
+    assert all(model.ratio[g] == pytest.approx(x) for g, x in ratio.items())
+    rows = quality_classifier.select(docs, labels, k=50, seed=7).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows:
+        own = grams(texts[r.doc_id])
+        weight = sum(ratio[g] for g in own) / len(own) * min(len(own), 100)
+        assert r.log_weight == pytest.approx(weight)
+        assert r.gumbel_key == pytest.approx(model.slope * weight + quality_classifier.gumbel(7, r.doc_id, texts[r.doc_id]))
+    cut = sorted((r.gumbel_key for r in rows), reverse=True)[49]
+    assert all(r.kept == (r.gumbel_key >= cut) for r in rows)
+    assert len({r.kept for r in rows if r.doc_id == 3}) == 1
+
+
+def test_draw_follows_the_weights(spark):
+    """Inclusion over many seeds is that of sampling without replacement; the draw is no threshold."""
+    weights = np.repeat([0.0, 1.0, 2.0], 40)
+    texts = [f"t{i}" for i in range(120)]
+    k, n, hits, apart = 30, 400, np.zeros(120), 0
+    for seed in range(n):
+        keys = weights + [quality_classifier.gumbel(seed, i, t) for i, t in enumerate(texts)]
+        took = np.argsort(-keys)[:k]
+        hits[took] += 1
+        apart += set(took.tolist()) != set(range(90, 120))
+    share = hits.reshape(3, 40).mean(1) / n
+    rng, want = np.random.default_rng(1), np.zeros(3)
+    for _ in range(n):
+        p = np.exp(weights)
+        for _ in range(k):
+            i = rng.choice(120, p=p / p.sum())
+            p[i] = 0
+            want[i // 40] += 1 / n / 40
+    assert apart == n and np.allclose(share, want, atol=0.02)
+    df = spark.createDataFrame([(i, float(w), float(w) + quality_classifier.gumbel(3, i, t)) for i, (w, t) in enumerate(zip(weights, texts, strict=True))], "doc_id bigint, log_weight double, gumbel_key double")
+    kept = [r.doc_id for r in quality_classifier.sampled(df, quality_classifier.Model(np.zeros(1), 1.0, 0.0), 30).filter("kept").collect()]
+    assert len(kept) == 30 and 0 < sum(i < 80 for i in kept) < 30
 
 
 def test_kth_largest(spark):

@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 from millrace.llm.shared import stored
-from test_llm_free import brute_components
+from test_llm_near_rule import brute
 from test_llm_native import brute_hits
 
 
@@ -22,8 +22,8 @@ def test_stages(spark, sf_dir):
     good = [i for i, q in labels.items() if q == 1]
     assert sum(i in texts[1] for i in good) >= 0.95 * len(good)
     ids = sorted(texts[1])
-    roots = brute_components([texts[1][i] for i in ids])
-    assert sorted(texts[2]) == [i for k, i in enumerate(ids) if roots[k][1] == k]
+    roots = brute([texts[1][i] for i in ids], 5, 80)
+    assert sorted(texts[2]) == [i for k, i in enumerate(ids) if roots[k] == k]
     assert sorted(texts[3]) == sorted(i for i, t in texts[2].items() if not brute_hits(t, items)[4])
     secret = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8,}|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"""
     assert sorted(texts[4]) == sorted(i for i, t in texts[3].items() if not re.search(secret, t))
