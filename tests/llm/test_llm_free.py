@@ -282,6 +282,103 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows) and toxicity.score(docs, model).count() == 702
 
 
+def exhaustive(model, span):
+    """The least cost of all readings of a span, by trying every one."""
+
+    def least(i, context):
+        if i == len(span):
+            return 0.0 if context == "^^" else model.cost(context, "$")
+        return min(price + least(i + 1, to) for to, price, _ in model.arcs(span, i, context))
+
+    return least(0, "^^")
+
+
+def cost_of(model, span):
+    states = {"^^": 0.0}
+    for i in range(len(span)):
+        best = {}
+        for context, c in states.items():
+            for to, price, _ in model.arcs(span, i, context):
+                best[to] = min(best.get(to, 1e9), c + price)
+        states = best
+    return min(c + (0.0 if s == "^^" else model.cost(s, "$")) for s, c in states.items())
+
+
+def test_viterbi_equals_exhaustive_search():
+    rng = random.Random(4)
+    texts = ["a bad idiot said it", "the idiot is a moron", "naïve été ß über", "loser trash"] * 20
+    model = toxicity.Model(dict(toxicity._counted(texts)))
+    for _ in range(300):
+        span = "".join(rng.choice("idotmrn10!$a é.-  x") for _ in range(rng.randrange(1, 9)))
+        assert cost_of(model, span) == pytest.approx(exhaustive(model, span)), span
+    assert model.restore("1d10t") == model.restore("i d i o t") == model.restore("id.iot") == "idiot" and model.restore("id iot") == "idiot"
+
+
+SYMBOLS = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7", "b": "8", "g": "9"}
+
+
+def disguised(rng, word):
+    kind = rng.randrange(5)
+    if kind == 0:
+        return "".join(SYMBOLS.get(c, c) for c in word)
+    if kind == 1:
+        return " ".join(word)
+    if kind == 2:
+        return rng.choice(".-_*~").join(word)
+    if kind == 3:
+        i = rng.randrange(1, len(word))
+        return word[:i] + word[i] * 4 + word[i + 1 :]
+    i = rng.randrange(2, len(word) - 1)
+    return word[:i] + " " + word[i:]
+
+
+def test_obfuscated_words_of_held_out_rows(spark):
+    """Recall on held-out toxic rows whose words are disguised: at least 0.9, and next to nothing without decoding."""
+    docs, labels = labelled(spark)
+    model, rng = toxicity.fit(docs, labels), random.Random(12)
+    toxic = {r.doc_id for r in labels.collect() if r.toxic == 1}
+    held = [r for r in docs.collect() if r.doc_id is not None and r.doc_id < 700 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    hits, plain, n, clean = 0, 0, 0, []
+    for r in held:
+        if r.doc_id in toxic:
+            text = " ".join(disguised(rng, w) if w in BAD else w for w in r.text.split())
+            hits += model.score(text) >= 0.5
+            plain += model.bias + sum(model.weights.get(w, 0.0) for w in set(text.split())) >= 0
+            n += 1
+        else:
+            clean.append(model.score(r.text) >= 0.5)
+    assert n >= 15 and hits >= 0.9 * n and plain <= 0.1 * n and sum(clean) <= 0.02 * len(clean), (n, hits, plain)
+
+
+def test_skeletons_lose_no_reading(spark):
+    """A phrase that whole-token decoding of any run of tokens reads is found through skeletons too."""
+    rng = random.Random(6)
+    model = toxicity.Model(dict(toxicity._counted(["a bad idiot said it to the moron"] * 40)), {"idiot": 2.0, "moron": 2.0, "bad idiot": 1.0}, -1.0)
+    for _ in range(150):
+        tokens = [rng.choice(["a", "bad", "said", "it", "mo", "ron", "1", "x9", "!"]) for _ in range(rng.randrange(3))]
+        tokens[1:1] = [disguised(rng, rng.choice(["idiot", "moron"]))]
+        text = " ".join(tokens)
+        parts, read = text.split(" "), set()
+        for i in range(len(parts)):
+            for j in range(i + 1, min(len(parts), i + 7) + 1):
+                span = " ".join(parts[i:j])
+                read |= {w for w in ("idiot", "moron") if span.strip("!") and model.restore(span.strip("!")) == w}
+        assert read <= model.find(text), text
+
+
+def test_toxicity_edge_cases(spark):
+    docs, labels = labelled(spark, 300)
+    model = toxicity.fit(docs, labels)
+    rows = [(1, "x " * 60_000 + "1d10t"), (1, "x " * 60_000 + "1d10t"), (None, "idiot"), (2, None), (3, ""), (4, "日本 idiot €")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"score": F.lit(3), "held_out": F.lit("x")})
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.doc_id == 1}) == 1 and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[1].predicted == by[None].predicted == by[4].predicted == 1 and by[2].score == by[3].score and not by[None].held_out
+    assert toxicity.score(df.limit(0), model).count() == 0
+    assert toxicity.fit(docs.limit(0), labels).weights == {}
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     model = toxicity.fit(docs, labels.limit(0))
