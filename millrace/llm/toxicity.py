@@ -10,7 +10,8 @@
 3. Scorer.  Words and pairs of words of the restored text that a bounded
    hash-ordered sample of labelled rows ties to the label (by a likelihood-ratio
    test; labels of fold 0 are never read): naive Bayes over what is present, each
-   phrase by its log-odds less their standard error, with the labels' prior.
+   phrase by its log-odds less their standard error, with the labels' prior
+   less ``CAUTION``.
 
 Where a phrase of the scorer can be read at all, its skeleton (classes of letters
 that some symbol can stand for alike, repeats folded, all else dropped) occurs in
@@ -62,6 +63,8 @@ OTHER = "□"
 #: symbol that stands for itself, a blank dropped between words, a word end between spaced letters.
 C_IMITATE, C_DROP, C_PUNCTUATION, C_REPEAT, C_LITERAL, C_JOIN, C_BREAK = 0.5, 0.2, 6.0, 2.0, 2.0, 3.0, 1.0
 MIN_DOCS = 4
+#: Nats in favour of clean documents.
+CAUTION = 1.0
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
@@ -334,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
         gain = t * math.log(t / ((t + c) * prior)) + (c * math.log(c / ((t + c) * (1 - prior))) if c else 0.0)
         if t / (t + c) > prior and gain >= least:
             chosen[phrase] = math.log((t + 0.25) / (toxic + 0.5)) - math.log((c + 0.25) / (clean + 0.5)) - 1 / math.sqrt(t)
-    return Model(grams, dict(sorted(chosen.items())), math.log(toxic / clean))
+    return Model(grams, dict(sorted(chosen.items())), math.log(toxic / clean) - CAUTION)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
