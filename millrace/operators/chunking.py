@@ -11,8 +11,39 @@ from millrace.functions import udfs
 
 def structure(docs: DataFrame, key: str = "doc_id", text: str = "text", legacy: bool = False) -> DataFrame:
     """key, pos, chunk."""
-    f = udfs.chunks_by_paragraph if legacy else udfs.chunks
-    return docs.select(key, F.posexplode(f(F.col(text))).alias("pos", "chunk"))
+    found = paragraphs(F.col(text)) if legacy else udfs.chunks(F.col(text))
+    return docs.select(key, F.posexplode(found).alias("pos", "chunk"))
+
+
+def paragraphs(text: Column, target: int = 2000, overlap: int = 0) -> Column:
+    """array of chunks: paragraphs packed up to ``target`` characters by a fold.  A heading starts a
+    chunk, and a longer paragraph is cut into equal strides."""
+    parts = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda x: x.rlike(r"(?U)\S")), lambda x: F.regexp_replace(x, r"\n+$", ""))
+    stride = target - min(max(0, overlap), target - 1)
+
+    def cut(p: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length(p) - target) / stride).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(p, i * stride + 1, F.lit(target)))
+
+    def state(done: Column, held: Column, size: Column, last: Column) -> Column:
+        return F.struct(done.alias("done"), held.alias("held"), size.alias("size"), last.alias("last"))
+
+    none, zero = F.lit(""), F.lit(0)
+
+    def step(acc: Column, p: Column) -> Column:
+        closed = F.when(acc["size"] > 0, F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
+        new = (acc["size"] > 0) & (F.ltrim(p).startswith("#") | (acc["size"] + F.length(p) > target))
+        tail = F.right(acc["last"], F.lit(overlap)) if overlap > 0 else none
+        begun = F.when(tail == "", p).otherwise(F.concat(tail, F.lit("\n\n"), p))
+        grown = F.when(acc["size"] > 0, F.concat(acc["held"], F.lit("\n\n"), p)).otherwise(p)
+        return (
+            F.when(F.length(p) > target, state(F.concat(closed, cut(p)), none, zero, none))
+            .when(new, state(closed, begun, F.length(tail) + F.length(p), p))
+            .otherwise(state(acc["done"], grown, acc["size"] + F.length(p), p))
+        )
+
+    start = state(F.array().cast("array<string>"), none, zero, none)
+    return F.aggregate(parts, start, step, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]))
 
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", stride: int = 1000, width: int = 1400) -> DataFrame:

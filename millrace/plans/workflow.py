@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import udfs
 from millrace.operators import arithmetic, preference, review, search
 from millrace.plans.registry import query, table
 
@@ -255,29 +256,76 @@ def _seeds(spark):
     return arithmetic.seeds(spark.range(5000).withColumnRenamed("id", "position"))
 
 
-@query("g1_arithmetic_one_step", f"""WITH {SEED}, v AS (SELECT position, seed, seed % 89 + 11 AS a, seed // 4 % 7 + 2 AS b FROM s)
-  SELECT position, CASE seed % 4 WHEN 0 THEN a || '+' || b WHEN 1 THEN a || '-' || b WHEN 2 THEN a || '*' || b ELSE a * b || '//' || b END AS expression,
-  CASE seed % 4 WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a END AS result FROM v""")
+ONE = """v AS (SELECT position, seed, 2 + seed % 17 AS a, 2 + seed // 17 % 17 AS b FROM s),
+  o AS (SELECT position, CASE seed % 4 WHEN 0 THEN a || ' + ' || b WHEN 1 THEN a || ' * ' || b WHEN 2 THEN (a + b) || ' - ' || b ELSE (a * b) || ' // ' || b END AS expression,
+  CASE seed % 4 WHEN 0 THEN a + b WHEN 1 THEN a * b ELSE a END AS result FROM v)"""
+
+
+@query("g1_arithmetic_one_step", f"""WITH {SEED}, {ONE} SELECT *, '列式：' || expression || ' = ' || result || '。因此答案是 ' || result || '。 <<' || expression || '=' || result || '>> #### ' || result AS answer FROM o""")
 def g1(spark, d):
     e, r = arithmetic.one_step(F.col("seed"))
-    return _seeds(spark).select("position", e.alias("expression"), r.alias("result"))
+    rows = _seeds(spark).select("position", e.alias("expression"), r.alias("result"))
+    return rows.withColumn("answer", arithmetic.one_step_answer(F.col("expression"), F.col("result")))
+
+
+TWO = """v AS (SELECT position, seed, 2 + seed % 97 AS a, 2 + seed // 97 % 89 AS b, 1 + seed // 8633 % 83 AS c FROM s),
+  w AS (SELECT *, CASE WHEN seed % 4 = 1 THEN least(c, a * b - 1) ELSE c END AS d, (a || ' * ' || b) AS ab FROM v),
+  o AS (SELECT position, seed % 4 AS family, CASE seed % 4 WHEN 2 THEN a || ' + ' || b ELSE ab END AS e1, CASE seed % 4 WHEN 2 THEN a + b ELSE a * b END AS r1,
+  CASE seed % 4 WHEN 0 THEN ab || ' + ' || d WHEN 1 THEN ab || ' - ' || d WHEN 2 THEN '(' || a || ' + ' || b || ') * ' || d ELSE ab || ' + ' || d || ' * ' || b END AS e2,
+  CASE seed % 4 WHEN 0 THEN a * b + d WHEN 1 THEN a * b - d WHEN 2 THEN (a + b) * d ELSE a * b + d * b END AS r2,
+  CASE WHEN seed % 4 = 3 THEN '(' || ab || ' + ' || d || ' * ' || b || ') // ' || b END AS e3, CASE WHEN seed % 4 = 3 THEN (a * b + d * b) // b END AS r3 FROM w)"""
+
+
+@query("g1_arithmetic_several_steps", f"""WITH {SEED}, {TWO} SELECT position, coalesce(e3, e2) AS expression, coalesce(r3, r2) AS result, concat_ws(chr(10),
+  CASE family WHEN 0 THEN '先计算成组资料的总数' WHEN 1 THEN '先计算准备的资料总数' WHEN 2 THEN '先计算每天上午与下午完成的总数' ELSE '先计算原有资料总数' END || '：<<' || e1 || '=' || r1 || '>>。',
+  CASE family WHEN 0 THEN '再加上额外资料' WHEN 1 THEN '再减去已经使用的资料' WHEN 2 THEN '再乘以工作的天数' ELSE '再加上新增资料' END || '：<<' || e2 || '=' || r2 || '>>。',
+  '最后平均分组：<<' || e3 || '=' || r3 || '>>。', '#### ' || coalesce(r3, r2)) AS answer FROM o""")
+def g1_several(spark, d):
+    steps, r = arithmetic.several_steps(F.col("seed"))
+    rows = _seeds(spark).select("position", "seed", steps.alias("steps"), r.alias("result"))
+    return rows.select(
+        "position", F.element_at("steps", -1)["expression"].alias("expression"), "result",
+        arithmetic.several_steps_answer(F.col("seed"), F.col("steps")).alias("answer"),
+    )
 
 
-@query("g1_arithmetic_two_steps", f"""WITH {SEED}, v AS (SELECT position, seed, seed % 97 + 3 AS a, seed // 4 % 11 + 2 AS b, seed // 16 % 13 + 1 AS c FROM s)
-  SELECT position, CASE seed % 4 WHEN 0 THEN '(' || a || '+' || c || ')*' || b WHEN 1 THEN a || '*' || b || '-' || c WHEN 2 THEN a * b || '//' || b || '+' || c ELSE a || '*' || b || '+' || c || '*' || c END AS expression,
-  CASE seed % 4 WHEN 0 THEN (a + c) * b WHEN 1 THEN a * b - c WHEN 2 THEN a + c ELSE a * b + c * c END AS result FROM v""")
-def g1_two(spark, d):
-    e, r = arithmetic.two_steps(F.col("seed"))
-    return _seeds(spark).select("position", e.alias("expression"), r.alias("result"))
+@query("g2_evaluate_expressions", """SELECT p_partkey, CASE WHEN p_size * 3000 <= 100000 AND p_size % 7 <> 0 THEN (p_size + 3) * p_size - floor(p_size * 3000 / (p_size % 7))::BIGINT END AS value FROM part""")
+def g2(spark, d):
+    """Inexact division rounds down; large operands and zero divisors are invalid."""
+    s = F.col("p_size").cast("string")
+    text = F.concat(F.lit("("), s, F.lit("+3)*"), s, F.lit(" - "), (F.col("p_size") * 3000).cast("string"), F.lit("//"), (F.col("p_size") % 7).cast("string"))
+    return table(spark, d, "part").select("p_partkey", udfs.arithmetic(text).alias("value"))
 
 
-@query("g3_arithmetic_verify", f"WITH {SEED} SELECT position, CASE WHEN position % 10 = 0 THEN 'step_mismatch' END AS issue FROM s")
+@query("g3_arithmetic_verify", f"""WITH {SEED} SELECT position, CASE WHEN position % 10 = 0 THEN 'answer_mismatch' WHEN position % 10 = 1 THEN 'other_calculation'
+  WHEN position % 10 = 2 THEN 'terminal_answer_count' WHEN position % 10 = 3 THEN 'step_mismatch' END AS issue FROM s""")
 def g3(spark, d):
-    """Every tenth answer is off by one."""
-    e, r = arithmetic.two_steps(F.col("seed"))
-    wrong = r + F.when(F.col("position") % 10 == 0, 1).otherwise(0)
-    rows = _seeds(spark).select("position", arithmetic.answer(e, wrong).alias("answer"))
-    return arithmetic.verified(rows).select("position", "issue")
+    """Of ten answers one ends on another number, one belongs to another expression, one repeats its
+    last line and one miscalculates."""
+    e, r = arithmetic.one_step(F.col("seed"))
+    rows = _seeds(spark).select("position", e.alias("expression"), r.alias("result"))
+    case, said = F.col("position") % 10, arithmetic.one_step_answer(F.col("expression"), F.col("result"))
+    answer = (
+        F.when(case == 0, F.regexp_replace(said, "#### ", "#### 9")).when(case == 2, F.concat(said, F.lit(" #### 1")))
+        .when(case == 3, F.regexp_replace(said, ">>", "1>>")).otherwise(said)
+    )
+    expression = F.when(case == 1, F.concat(F.col("expression"), F.lit(" + 0"))).otherwise(F.col("expression"))
+    rows = rows.select("position", answer.alias("answer"), expression.alias("expression"))
+    return arithmetic.verified(rows, expression="expression").select("position", "issue")
+
+
+@query("l3_arithmetic_ledger", f"""WITH {SEED}, {ONE}, n AS (SELECT position, CASE WHEN contains(expression, ' + ') THEN '["+",' ||
+  array_to_string(list_sort(list_transform(string_split(expression, ' + '), lambda x: '["int",' || x || ']')), ',') || ']' WHEN contains(expression, ' * ') THEN '["*",' ||
+  array_to_string(list_sort(list_transform(string_split(expression, ' * '), lambda x: '["int",' || x || ']')), ',') || ']' WHEN contains(expression, ' - ') THEN '["-",["int",' ||
+  replace(expression, ' - ', '],["int",') || ']]' ELSE '["//",["int",' || replace(expression, ' // ', '],["int",') || ']]' END AS tree FROM o),
+  f AS (SELECT position, sha256(encode('arithmetic-expression-v1') || '\\x00'::BLOB || encode(tree)) AS fingerprint FROM n)
+  SELECT fingerprint, min(position) AS position FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM f WHERE position < 40) GROUP BY 1""")
+def l3(spark, d):
+    """New calculations: the first forty are in the ledger; operands of + and * in any order are one."""
+    e, _ = arithmetic.one_step(F.col("seed"))
+    rows = _seeds(spark).select("position", e.alias("expression"))
+    ledger = rows.filter("position < 40").select(arithmetic.fingerprint(F.col("expression")).alias("fingerprint"))
+    return arithmetic.unseen(rows, ledger).select("fingerprint", "position")
 
 
 @query("s13_repeat_template", "SELECT i AS id, 'template' AS name FROM range(100) r(i)")

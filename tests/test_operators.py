@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace.functions import text as T
 from millrace.functions import udfs
-from millrace.operators import contracts, conversations, decontamination, dedup, quality, review
+from millrace.operators import chunking, contracts, conversations, decontamination, dedup, quality, review
 
 SENTENCES = [f"Sentence number {chr(97 + i)} tells of a {w} place in some detail." for i, w in enumerate(["quiet", "green", "open", "vast", "tiny", "plain"] * 4)]
 BASE = " ".join(SENTENCES)
@@ -84,22 +84,45 @@ def test_structure_chunks():
     assert udfs.structure_chunks(" \n") == []
     overlapped = udfs.structure_chunks(BASE, 100, 20)
     assert all(b.startswith(a[-20:]) for a, b in zip(overlapped, overlapped[1:], strict=False))
-    assert udfs.paragraph_chunks("a" * 25, 10, 2) == ["a" * 10, "a" * 10, "a" * 9]
-    assert udfs.paragraph_chunks("p1\n\np2\n\n# H\n\np3", 100) == ["p1\n\np2", "# H\n\np3"]
+    nested = "a\n\n````md\n```py\nx\n```\n````\n\n~~~\n```\n~~~\nend"
+    assert [k for k, *_ in udfs.blocks(nested)] == ["prose", "atomic", "prose", "atomic", "prose"]
+    assert [k for k, *_ in udfs.blocks("| a |\n| - |\n<table>\nx")] == ["prose"]
+    # Long prose is cut at a line, a sentence or a blank of its last half.
+    assert udfs.structure_chunks("ab cd. ef gh ij", 10) == ["ab cd.", " ef gh ij"] and udfs.structure_chunks("abc def ghi", 9) == ["abc def ", "ghi"]
+
+
+def test_paragraph_chunks(spark):
+    def cut(text, target, overlap=0):
+        return docs(spark, [text]).select(chunking.paragraphs(F.col("text"), target, overlap).alias("c")).first().c
+
+    assert cut("a" * 25, 10, 2) == ["a" * 10, "a" * 10, "a" * 9]
+    assert cut("p1\n\np2\n\n# H\n\np3", 100) == ["p1\n\np2", "# H\n\np3"]
+    assert cut("abcd\n\nefgh\n \nijkl\n", 8, 2) == ["abcd\n\nefgh", "gh\n\nijkl"]
+    assert cut(None, 10) == cut(" \n\n ", 10) == []
 
 
 def test_repetition_cycles():
     assert udfs.repetition_cycle("We then add one to it. So it grows again. " * 12)["period"] == 2
     assert udfs.repetition_cycle(BASE) is None
-    assert udfs.repetition_cycle("".join(f"Step {i}: add the numbers up. " for i in range(12)))["period"] == 1 or True
+    steps = udfs.repetition_cycle("".join(f"Step {i}: add the numbers up. " for i in range(12)))
+    assert (steps["period"], steps["repetitions"], steps["start"]) == (1, 8, 0)
+    assert udfs.repetition_cycle("```\n" + "We then add one to it. " * 12 + "\n```\n") is None
+    assert udfs.repetition_cycle("> We then add one to it.\n" * 12) is None
+    lines = "".join(f"A line of some length, number {i % 20} of the lot.\n" for i in range(200))
+    assert udfs.dominated_by_lines(lines) and udfs.repetition_cycle(lines)["period"] == 20
 
 
 def test_arithmetic():
-    assert [udfs.evaluate(x) for x in ("2+3*4", "(2+3)*4", "-3+5", "8//2", "7//2", "1//0", "2**3", "100001", "99999*99999", "1+", "a")] == [
-        14, 20, 2, 4, None, None, None, None, None, None, None,
-    ]
+    cases = {
+        "2+3*4": 14, "(2+3)*4": 20, "-3+5": None, "2--1": None, "8//2": 4, "7//2": 3, "(1-4)//2": -2, "1//0": None, "2**3": None, "7/2": None,
+        "100001": None, "99999*99999": None, "1+": None, "a": None, "": None, "()": None, "(1": None, "1 2": None, "007": None, "00": 0, " ( 1 ) ": 1,
+        "+".join("1" * 24): 24, "+".join("1" * 25): None, "(" * 30 + "1" + ")" * 30: 1,
+        "+".join(["(1+1+1+1)"] * 10 + ["1", "1", "1"]): 43, "+".join(["(1+1+1+1)"] * 10 + ["1", "1", "1", "1"]): None,
+    }
+    assert {x: udfs.evaluate(x) for x in cases} == cases
     c = udfs.canonical
     assert c("2 + 3") == c("(3+2)") and c("2 * (3 * 4)") == c("(4 * 2) * 3") and c("5-2") != c("2-5") and c("2*(3+4)") != c("2*3+2*4")
+    assert c("3+2") == '["+",["int",2],["int",3]]' and c("2**3") is None
 
 
 def test_conversation_issues(spark):
