@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,19 +34,25 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def squash(text: Column) -> Column:
-    """Runs of white space to one blank, ends stripped."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space to one blank, ends stripped.  ASCII texts take the cheaper classes."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"[ \t-\r]+", " "), "^ | $", "")
+    return F.when(is_ascii(text), plain).otherwise(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""))
 
 
 def comparison_text(text: Column) -> Column:
-    """What exact comparison sees: composed, white space folded; numbers and punctuation stay."""
-    return squash(nfc(text))
+    """What exact comparison sees: composed, white space folded; numbers and punctuation stay.
+    Only texts beyond ASCII leave the JVM."""
+    return squash(F.when(is_ascii(text), text).otherwise(nfc(F.when(~is_ascii(text), text))))
 
 
 def text_issue(text: Column) -> Column:
@@ -67,17 +74,85 @@ def structure_sensitive(text: Column) -> Column:
     return found
 
 
-def characters(text: Column) -> Column:
-    """array of the code points: one linear pass, where repeated ``substring`` would be quadratic."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+_MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingles(chars: Column, size: int = SHINGLE) -> Column:
-    """The distinct runs of ``size`` characters of an array of characters."""
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(chars) - size), lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)])
-    )
-    return F.when(F.size(chars) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of ``size`` characters."""
+    x = _points(text).astype(np.uint64)
+    n = len(x) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    h = x[:n]
+    for k in range(1, size):
+        h = ((h ^ (h >> np.uint64(29))) * _MIX) + x[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * _SPREAD
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def shingle_checksums(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Sorted CRC-32 values of the UTF-8 bytes of the distinct runs of ``size`` characters, a column of
+    bytes at a time."""
+    x = _points(text)
+    n = len(x) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint32)
+    wide = 1 + (x >= 0x80) + (x >= 0x800).astype(int) + (x >= 0x10000)
+    columns = []
+    for k in range(int(wide.max())):
+        shift = (6 * (wide - 1 - k)).clip(0).astype(np.uint32)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[wide] | (x >> shift)
+        byte = np.where(wide == 1, x, lead) if k == 0 else 0x80 | (x >> shift & 0x3F)
+        columns.append((byte.astype(np.uint32), wide > k))
+    crc = np.full(n, 0xFFFFFFFF, np.uint32)
+    for j in range(size):
+        for byte, there in columns:
+            new = _CRC[(crc ^ byte[j : j + n]) & 0xFF] ^ (crc >> np.uint32(8))
+            crc = new if len(columns) == 1 else np.where(there[j : j + n], new, crc)
+    return np.unique(crc ^ np.uint32(0xFFFFFFFF))
+
+
+@F.pandas_udf(S.LongType())
+def shingle_count(texts: pd.Series) -> pd.Series:
+    """The number of distinct runs of seven characters; null for null."""
+    return pd.Series([None if t is None else len(shingle_hashes(t)) for t in texts], dtype="Int64")
+
+
+@F.pandas_udf(S.BinaryType())
+def shingle_set(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else shingle_hashes(t).tobytes())
+
+
+@F.pandas_udf(S.DoubleType())
+def set_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of two sets of ``shingle_set``."""
+
+    def one(x: bytes, y: bytes) -> float:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common / (len(x) + len(y) - common)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+@F.pandas_udf(S.ArrayType(S.LongType()))
+def bottom_checksums(texts: pd.Series) -> pd.Series:
+    """The twelve least checksums of the shingles; null for null."""
+    return texts.map(lambda t: None if t is None else shingle_checksums(t)[:12].astype(np.int64).tolist())
 
 
 def lines(text: Column) -> Column:

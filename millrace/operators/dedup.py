@@ -29,67 +29,64 @@ def exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return found.select(key, F.when(F.col("first") != F.col(key), F.col("first")).alias("duplicate_of"))
 
 
-def _eligible(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, norm, numbers, grams of texts that may match nearly."""
-    t = F.col(text)
-    df = docs.filter(~T.structure_sensitive(t)).select(F.col(key).alias("id"), T.comparison_text(t).alias("norm"))
-    df = df.filter(F.length("norm") >= T.NEAR_MIN_CHARS).withColumn("_chars", T.characters(F.col("norm")))
-    return df.select(
-        "id", F.length("norm").alias("n"),
-        F.regexp_extract_all("norm", F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?"), F.lit(0)).alias("numbers"),
-        T.shingles(F.col("_chars")).alias("grams"),
-    )
-
-
-def _keys(grams: str) -> Column:
-    """The twelve least checksums of the shingles, taken two by two."""
-    low = F.slice(F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.crc32(g.cast("binary"))))), 1, BOTTOM)
-    return F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(BOTTOM - 2), F.lit(2)),
-            lambda i: F.struct(F.get(low, i).alias("h1"), F.get(low, i + 1).alias("h2")),
-        ),
-        lambda p: p["h2"].isNotNull(),
+def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, digest, n, v (a hash of the numbers), ks (bucket keys; null where a text cannot match nearly):
+    one pass over the texts with a small row for each."""
+    norm = T.comparison_text(F.col(text))
+    df = docs.select(F.col(key).alias("id"), norm.alias("norm"), T.structure_sensitive(F.col(text)).alias("_code"))
+    fit = ~F.col("_code") & (F.length("norm") >= T.NEAR_MIN_CHARS)
+    low = T.bottom_checksums(F.when(fit, F.col("norm")))
+    numbers = F.regexp_extract_all("norm", F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?"), F.lit(0))
+    df = df.select("id", F.sha2("norm", 256).alias("digest"), F.length("norm").alias("n"), F.xxhash64(numbers).alias("v"), low.alias("low"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.lit(BOTTOM - 2), F.lit(2)),
+        lambda i: F.struct(F.get("low", i).alias("h1"), F.get("low", i + 1).alias("h2")),
     )
+    keys = F.when(F.col("low").isNotNull(), F.filter(pairs, lambda p: p["h2"].isNotNull()))
+    return df.select("id", "digest", "n", "v", keys.alias("ks"))
 
 
 def near_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, h1, h2: the bucket keys of every eligible text."""
-    return _eligible(docs, key, text).select("id", F.explode(_keys("grams")).alias("k")).select("id", "k.h1", "k.h2")
+    return profile(docs, key, text).select("id", F.explode("ks").alias("k")).select("id", "k.h1", "k.h2")
+
+
+def _proposed(left: DataFrame, right: DataFrame, earlier: bool) -> DataFrame:
+    """a, b: rows that share a bucket, have the same numbers and about the same length."""
+    x, y = (df.select("id", "n", "v", F.explode("ks").alias("k")).alias(a) for df, a in ((left, "x"), (right, "y")))
+    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v"))
+    if earlier:
+        on = on & (F.col("y.id") < F.col("x.id"))
+    return x.join(y, on).filter(_alike("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _alike(x: str, y: str) -> Column:
+    return F.least(x, y) / F.greatest(x, y) >= LENGTH_RATIO
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, references: DataFrame, key: str, text: str) -> DataFrame:
+    """a, b, similarity of the pairs whose shingle sets agree; only their texts are shingled."""
+
+    def sets(df: DataFrame, wanted: str) -> DataFrame:
+        ids = pairs.select(F.col(wanted).alias(key)).distinct()
+        rows = df.select(key, text).join(ids, key, "left_semi")
+        return rows.select(F.col(key).alias(wanted), T.shingle_set(T.comparison_text(F.col(text))).alias(f"s{wanted}"))
+
+    both = pairs.join(sets(docs, "a"), "a").join(sets(references, "b"), "b")
+    return both.select("a", "b", T.set_similarity("sa", "sb").alias("similarity")).filter(F.col("similarity") >= JACCARD)
 
 
 def near_pairs(docs: DataFrame, references: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """a, b, similarity of verified near matches: among ``docs`` (b < a), or docs a against references b.
+    """a, b, similarity of all verified near matches: among ``docs`` (b < a), or docs a against references b.
 
-    One pass reduces every eligible text to its bucket keys (written, small).
-    Buckets propose pairs that also agree in numbers and roughly in length, and
-    only the texts of those pairs are shingled again for the exact comparison.
+    Buckets propose pairs that also agree in numbers and roughly in length.
     """
     from millrace.operators.storage import stored
 
-    def heads(df: DataFrame) -> DataFrame:
-        e = _eligible(df, key, text)
-        return stored(e.select("id", "n", F.xxhash64("numbers").alias("v"), _keys("grams").alias("ks")))
-
-    def cut(df: DataFrame, wanted: DataFrame, to: str) -> DataFrame:
-        e = _eligible(df.join(wanted.withColumnRenamed("id", key), key, "left_semi"), key, text)
-        return e.select(F.col("id").alias(to), F.col("grams").alias(f"g{to}"), F.col("numbers").alias(f"n{to}"))
-
-    left = heads(docs)
-    right = left if references is None else heads(references)
-    x, y = (df.select("id", "n", "v", F.explode("ks").alias("k")).alias(a) for df, a in ((left, "x"), (right, "y")))
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v"))
-    if references is None:
-        on = on & (F.col("y.id") < F.col("x.id"))
-    ratio = F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= LENGTH_RATIO
-    pairs = stored(x.join(y, on).filter(ratio).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    mine, theirs = (pairs.select(F.col(c).alias("id")).distinct() for c in ("a", "b"))
-    both = pairs.join(cut(docs, mine, "a"), "a").join(cut(docs if references is None else references, theirs, "b"), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    both = both.filter(F.col("na") == F.col("nb")).select(
-        "a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")
-    )
-    return both.filter(F.col("similarity") >= JACCARD)
+    left = stored(profile(docs, key, text).filter("ks IS NOT NULL"))
+    right = left if references is None else stored(profile(references, key, text).filter("ks IS NOT NULL"))
+    pairs = stored(_proposed(left, right, references is None))
+    return _verified(pairs, docs, docs if references is None else references, key, text)
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -124,20 +121,51 @@ def resolve(pairs: DataFrame) -> DataFrame:
     return done
 
 
+def near_roots(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """a, root, similarity: near duplicates among ``rows`` (a profile of ``docs``) and the earliest kept
+    row that each matches.
+
+    A first round compares each row with its earliest candidate alone, the least
+    row of all its buckets.  Where that one has no candidate itself (so it is
+    kept) and matches, the row is decided; a family of many copies costs one
+    comparison for each.  Only rows left open then meet all their candidates.
+    """
+    from millrace.operators.storage import stored
+
+    fit = rows.filter("ks IS NOT NULL")
+    # Candidates of a bucket agree in numbers; lengths are compared below.
+    placed = stored(fit.select("id", "n", F.explode("ks").alias("k"), "v"))
+    heads = stored(placed.groupBy("k", "v").agg(F.min(F.struct("id", "n")).alias("head")))
+    first = placed.join(heads, ["k", "v"]).groupBy("id", "n").agg(F.min("head").alias("head"))
+    alone = first.filter("head.id = id").select(F.col("id").alias("b"))
+    tried = stored(
+        first.filter("head.id < id").filter(_alike("n", "head.n")).select(F.col("id").alias("a"), F.col("head.id").alias("b"))
+        .join(alone, "b", "left_semi").select("a", "b")
+    )
+    done = stored(_verified(tried, docs, docs, key, text))
+    rest = stored(fit.join(done.select(F.col("a").alias("id")), "id", "left_anti"))
+    more = stored(_proposed(rest, rest, True))
+    found = resolve(_verified(more, docs, docs, key, text)) if not more.isEmpty() else None
+    settled = done.withColumnRenamed("b", "root")
+    return settled if found is None else settled.unionByName(found)
+
+
 def package(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, status, reason, duplicate_of, similarity of the sequential policy: exact first, then near
     among the first row of each comparison text."""
-    found = exact(docs, key, text)
-    heads = docs.join(found.filter("duplicate_of IS NULL").select(key), key, "left_semi")
-    near = resolve(near_pairs(heads, key=key, text=text)).withColumnRenamed("a", "_head")
+    from millrace.operators.storage import stored
+
+    rows = stored(profile(docs, key, text))
+    least = stored(rows.groupBy("digest").agg(F.min("id").alias("first")))
+    near = near_roots(docs, rows.join(least.select(F.col("first").alias("id")), "id", "left_semi"), key, text)
     # A copy of a near duplicate points at that one's root.
-    out = found.withColumn("_head", F.coalesce("duplicate_of", key)).join(near, "_head", "left")
-    is_exact = F.col("duplicate_of").isNotNull()
+    out = rows.select("id", "digest").join(least, "digest").join(near.withColumnRenamed("a", "first"), "first", "left")
+    is_exact = F.col("first") != F.col("id")
     return out.select(
-        key,
+        F.col("id").alias(key),
         F.when(is_exact | F.col("root").isNotNull(), "duplicate").otherwise("eligible").alias("status"),
         F.when(is_exact, "exact_duplicate_corpus").when(F.col("root").isNotNull(), "near_duplicate_corpus").alias("reason"),
-        F.coalesce("root", "duplicate_of").alias("duplicate_of"),
+        F.coalesce("root", F.when(is_exact, F.col("first"))).alias("duplicate_of"),
         F.when(is_exact, 1.0).otherwise(F.round("similarity", 4)).alias("similarity"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -13,30 +13,32 @@ def gated(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("issue", T.text_issue(F.col(text)))
 
 
-def signals(docs: DataFrame, text: str = "text") -> DataFrame:
+def signals(docs: DataFrame, text: str = "text", grams: Column | None = None) -> DataFrame:
     """``docs`` with norm, visible_chars, substantive, norm_chars, grams, line_chars, repeated_chars,
-    short_lines and n_lines.  All row-local; only the composition to NFC leaves the JVM."""
+    short_lines and n_lines.  All row-local; composition to NFC and the count of shingles leave the JVM,
+    the latter only where ``grams`` (all rows by default) holds."""
     t = F.col(text)
-    df = docs.withColumn("norm", T.comparison_text(t)).withColumns({"_lines": T.lines(t), "_chars": T.characters(F.col("norm"))})
+    df = docs.withColumn("norm", T.comparison_text(t)).withColumn("_lines", T.lines(t))
     long = F.filter("_lines", lambda x: F.length(x) >= 12)
     total = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + F.length(x))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "visible_chars": F.regexp_count(t, F.lit(r"(?U)\S")),
             "substantive": F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")),
             "norm_chars": F.length("norm"),
-            "grams": F.size(T.shingles(F.col("_chars"))),
             "n_lines": F.size("_lines"),
             "line_chars": total(F.col("_lines")),
             "repeated_chars": total(long) - total(F.array_distinct(long)),
             "short_lines": F.size(F.filter("_lines", lambda x: F.length(x) < 30)),
         }
-    ).drop("_lines", "_chars")
+    ).drop("_lines")
+    return df.withColumn("grams", T.shingle_count(F.col("norm") if grams is None else F.when(grams, F.col("norm"))))
 
 
 def verdict(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with reason (null: kept): the gate first, then the three pathologies."""
-    df = signals(gated(docs, text), text)
+    # Shingles are counted for texts alone that passed the gate and are long enough for the rule.
+    df = signals(gated(docs, text), text, F.col("issue").isNull() & (F.col("visible_chars") >= T.NEAR_MIN_CHARS))
     windows = F.greatest(F.lit(1), F.col("norm_chars") - T.SHINGLE + 1)
     reason = (
         F.when(F.col("issue").isNotNull(), F.col("issue"))
