@@ -23,7 +23,7 @@ def signals(docs: DataFrame, text: str = "text", grams: Column | None = None) ->
     total = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + F.length(x))
     df = df.withColumns(
         {
-            "visible_chars": F.regexp_count(t, F.lit(r"(?U)\S")),
+            "visible_chars": F.length(F.when(T.is_ascii(t), F.regexp_replace(t, r"[ \t-\r]+", "")).otherwise(F.regexp_replace(t, r"(?U)\s+", ""))),
             "substantive": F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")),
             "norm_chars": F.length("norm"),
             "n_lines": F.size("_lines"),
