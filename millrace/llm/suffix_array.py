@@ -2,12 +2,11 @@
 
 ``suffix_array`` classifies suffixes as smaller or larger than their right
 neighbour, sorts the leftmost-smaller (LMS) substrings by one induction, names
-them, sorts the reduced string of names and induces the whole array from it.
-An induction walks the buckets of first symbols; everything a stretch of a
-bucket induces is placed at once, so the work is linear and only the number of
-buckets (and the longest run of one symbol) costs interpreter steps.  The
-reduced string, whose alphabet is as large as itself, is sorted by doubling the
-ranks of what is not yet told apart.
+them, sorts the reduced string of names by itself, recursively, and induces the
+whole array from it.  An induction walks the buckets of first symbols, and
+everything a stretch of a bucket induces is placed at once.  Where the alphabet
+is large (a reduced string's) many buckets are taken together, so interpreter
+steps grow like the square root of its size.
 """
 
 from __future__ import annotations
@@ -15,6 +14,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Buckets of a large alphabet that are tried together at first.
+WIDTH = 64
+
+
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated ranges start, start + 1, ... of the given lengths."""
     ends = np.cumsum(lengths)
@@ -35,21 +38,28 @@ def smaller(t: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, t: np.ndarray, took: np.ndarray, ends: np.ndarray, forward: bool) -> None:
     """Puts suffixes ``took``, in order, at the heads or tails of their buckets."""
+    if not len(took):
+        return
     c = t[took]
     order = np.argsort(c, kind="stable")
     took, c = took[order], c[order]
-    counts = np.bincount(c, minlength=len(ends))
-    rank = np.arange(len(c)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    counts = np.diff(np.append(starts, len(c)))
+    rank = np.arange(len(c)) - np.repeat(starts, counts)
     if forward:
         sa[ends[c] + rank] = took
-        ends += counts
+        ends[c[starts]] += counts
     else:
         sa[ends[c] - 1 - rank] = took
-        ends -= counts
+        ends[c[starts]] -= counts
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from LMS suffixes given in order within each bucket."""
+    """All suffixes in order, from LMS suffixes given in order within each bucket.
+
+    A step takes a run of buckets together, as far as none of them induces into
+    another one of the run; runs grow while that succeeds.
+    """
     n, symbols = len(t), np.flatnonzero(np.diff(bounds))
     sa = np.full(n, -1, np.int64)
     by = t[lms]
@@ -57,65 +67,85 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.ndarray
     lms, cuts = lms[order], np.searchsorted(by[order], np.arange(len(bounds)))
     heads = bounds[:-1].copy()
 
-    def larger(chunk: np.ndarray) -> None:
+    def before(chunk: np.ndarray, small: bool) -> np.ndarray:
         p = chunk[chunk > 0] - 1
-        if len(p := p[~is_s[p]]):
-            _place(sa, t, p, heads, True)
-
-    for c in symbols:
-        i = bounds[c]
-        while i < heads[c]:
-            i, chunk = heads[c], sa[i : heads[c]]
-            larger(chunk)
-        if cuts[c + 1] > cuts[c]:
-            larger(lms[cuts[c] : cuts[c + 1]])
+        return p[is_s[p] == small]
+
+    at, width, alone = 0, WIDTH if len(symbols) > 4 * WIDTH else 1, False
+    while at < len(symbols):
+        run = symbols[at : at + (1 if alone else width)]
+        # What the buckets hold so far, larger suffixes before the LMS ones.
+        if len(run) == 1:
+            c = run[0]
+            i = bounds[c]
+            while i < heads[c]:
+                i, chunk = heads[c], sa[i : heads[c]]
+                _place(sa, t, before(chunk, False), heads, True)
+            _place(sa, t, before(lms[cuts[c] : cuts[c + 1]], False), heads, True)
+            at, alone = at + 1, False
+            continue
+        larger, held = heads[run] - bounds[run], cuts[run + 1] - cuts[run]
+        both = np.stack([larger, held], 1).ravel()
+        ends = np.cumsum(both)
+        chunk = np.empty(ends[-1], np.int64)
+        own = np.repeat(np.arange(len(run)), larger + held)
+        first = np.zeros(len(chunk), bool)
+        first[_ragged((ends - both)[::2], larger)] = True
+        chunk[first] = sa[_ragged(bounds[run], larger)]
+        chunk[~first] = lms[_ragged(cuts[run], held)]
+        p = chunk - 1
+        use = (chunk > 0) & ~is_s[p]
+        to = t[p]
+        # The run ends before the first bucket that one of it induces into.
+        inside = use & (to <= run[-1])
+        stop = int(np.searchsorted(run, to[inside].min())) if inside.any() else len(run)
+        if stop == 0:
+            alone = True
+            continue
+        _place(sa, t, p[use & (own < stop)], heads, True)
+        at, width = at + stop, width * 2 if stop == len(run) else max(2, (width + stop) // 2)
     tails = bounds[1:].copy()
 
-    def less(chunk: np.ndarray) -> None:
-        p = chunk[chunk > 0] - 1
-        if len(p := p[is_s[p]]):
-            _place(sa, t, p, tails, False)
-
     sa[0] = n - 1  # the sentinel
     tails[t[n - 1]] = bounds[t[n - 1]]
-    for c in symbols[::-1]:
-        i = bounds[c + 1]
-        if c == t[n - 1]:
-            less(sa[bounds[c] : i])
+    at, width, alone = 0, WIDTH if len(symbols) > 4 * WIDTH else 1, False
+    down = symbols[::-1]
+    while at < len(down):
+        run = down[at : at + (1 if alone else width)]
+        if len(run) == 1:
+            c = run[0]
+            if c == t[n - 1]:
+                _place(sa, t, before(sa[bounds[c] : bounds[c + 1]], True), tails, False)
+            else:
+                i = bounds[c + 1]
+                while i > tails[c]:
+                    i, chunk = tails[c], sa[tails[c] : i][::-1]
+                    _place(sa, t, before(chunk, True), tails, False)
+                _place(sa, t, before(sa[bounds[c] : heads[c]][::-1], True), tails, False)
+            at, alone = at + 1, False
+            continue
+        # Downwards: the smaller suffixes placed so far, then the larger ones, each from the right.
+        small, large = bounds[run + 1] - tails[run], heads[run] - bounds[run]
+        total = small + large
+        own = np.repeat(np.arange(len(run)), total)
+        rank = np.arange(len(own)) - np.repeat(np.cumsum(total) - total, total)
+        tail = rank < small[own]
+        chunk = sa[np.where(tail, bounds[run + 1][own] - 1 - rank, heads[run][own] - 1 - (rank - small[own]))]
+        p = chunk - 1
+        use = (chunk > 0) & is_s[p]
+        to = t[p]
+        inside = use & (to >= run[-1])
+        stop = int((run > to[inside].max()).sum()) if inside.any() else len(run)
+        if t[n - 1] in run[:stop]:  # the sentinel's bucket, the last, is taken alone
+            stop -= 1
+        if stop == 0:
+            alone = True
             continue
-        while i > tails[c]:
-            i, chunk = tails[c], sa[tails[c] : i][::-1]
-            less(chunk)
-        less(sa[bounds[c] : heads[c]][::-1])
+        _place(sa, t, p[use & (own < stop)], tails, False)
+        at, width = at + stop, width * 2 if stop == len(run) else max(2, (width + stop) // 2)
     return sa
 
 
-def _sorted_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of dense names, by doubling within groups of equal rank."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    first = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    rank = np.empty(n, np.int64)
-    base = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = base
-    h = 1
-    while True:
-        alone = first & np.concatenate([first[1:], [True]])
-        at = np.flatnonzero(~alone)  # places of suffixes that share their rank
-        if not len(at):
-            return order
-        sel = order[at]
-        nxt = np.where(sel + h < n, rank[np.minimum(sel + h, n - 1)] + 1, 0)
-        own = rank[sel]
-        o = np.lexsort((nxt, own))
-        sel, nxt, own = sel[o], nxt[o], own[o]
-        order[at] = sel
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])])
-        first[at] = new
-        rank[sel] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        h *= 2
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """The suffixes of ``t`` (small non-negative integers, the last one least and unique) in order."""
     n = len(t)
@@ -142,8 +172,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         same[at] = ~np.logical_or.reduceat(differ, starts)
     names = np.empty(len(lms), np.int64)
     names[order] = np.concatenate([[0], np.cumsum(~same)])
-    if names.max() + 1 < len(lms):
-        order = _sorted_names(names)
+    # Names are dense, and the last one, the sentinel's, is the least: the reduced string is of the same kind.
+    order = suffix_array(names) if names.max() + 1 < len(lms) else np.argsort(names, kind="stable")
     return _induce(t, is_s, lms[order], bounds)
 
 

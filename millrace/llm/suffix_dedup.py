@@ -9,20 +9,26 @@ else, in any document, goes.  Matches never cross documents.
    run (151 windows, 350 bytes at most) of a document.
 2. Anchors seen once are dropped.  Runs of equal bytes are one context with a
    count; an anchor with a single context needs no comparison.
-3. Contexts are dealt to shards by anchor.  A shard's blocks are concatenated,
-   a suffix array is induced and its permuted common prefixes computed;
-   neighbours that share ``LENGTH`` bytes are repeats of each other.
-   Anchors with more than ``HOT`` contexts are dealt by longer strings instead
-   (a core that ``STRIDE`` neighbouring windows share), so that no group grows
-   with a common line; every window still meets its equals.
-4. Covered windows return to all runs of their context, runs to documents, and
-   the bytes left are cut out.
+3. Contexts are dealt to shards by anchor.  Where an anchor has more than
+   ``HOT`` contexts (a common line in many surroundings) their windows are dealt
+   by longer strings instead: a core that ``STRIDE`` neighbouring windows share.
+   Equal pieces of a shard are one piece with a weight.  A shard's pieces are
+   concatenated, a suffix array is induced and its permuted common prefixes
+   computed; neighbours that share ``LENGTH`` bytes are repeats of each other.
+   A shard that still has more than ``HOT`` different pieces (a line's edge) is
+   dealt a last time, each window by all of its bytes; such shards hold equal
+   windows alone, so their weights decide.  No task holds more than ``HOT``
+   pieces of a shard, and every window meets its equals at every step.
+4. Covered windows return to all contexts of their piece, from there to all runs
+   and documents, and the bytes left are cut out.
 
 Counts reduce map-side; joins are equi-joins on anchors, contexts or documents
 that adaptive execution can split.  Documents are addressed by a 64-bit hash of
 id and text; rows that repeat are copies of each other.  Intermediate tables go
 to the shared folder.  Null and empty texts have no bytes; texts under
-``LENGTH`` bytes keep all of theirs; extra columns are ignored.
+``LENGTH`` bytes keep all of theirs; long texts are hashed in overlapping
+stretches.  Null ids are ids like others; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,6 +99,10 @@ def runs(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return anchor, first, last - first + 1, (low[first] & np.uint64((1 << 20) - 1)).astype(np.int64) - first
 
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
 def _address(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.select(F.col(key).alias("key"), body.alias("body")).select(
@@ -151,10 +161,10 @@ def anchors(addressed: DataFrame) -> DataFrame:
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """shard, anchor, context, copies, base, windows, bytes of the contexts to compare; ``texts`` has
-    ``wanted``, the contexts to be cut from each body.  ``base`` is the first window's number within
-    the context."""
-    schema = "shard bigint, anchor bigint, context bigint, copies bigint, base int, windows int, bytes binary"
+    """shard, piece (a hash of the bytes), anchor, context, copies, base, windows, bytes of what is to be
+    compared; ``texts`` has ``wanted``, the contexts to be cut from each body.  ``base`` is the first
+    window's number within the context."""
+    schema = "shard bigint, anchor bigint, context bigint, copies bigint, base int, windows int, bytes binary, piece bigint"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +185,7 @@ def _cut(texts: DataFrame) -> DataFrame:
                         seed = (w["anchor"] * 64 + stride) & (1 << 64) - 1
                         shard = xxhash.xxh3_64_intdigest(body[core : core + LENGTH - STRIDE + 1], seed) >> 1
                         rows.append((shard, w["anchor"], w["context"], w["copies"], first, last - first + 1, body[at + first : at + last + LENGTH]))
+                rows = [(*r, _signed(xxhash.xxh3_64_intdigest(r[-1]))) for r in rows]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
 
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -203,35 +214,56 @@ def repeated(contexts: list[bytes], windows: np.ndarray, copies: np.ndarray) ->
     return np.split(hit, np.cumsum(windows)[:-1])
 
 
-def _compare(cut: DataFrame) -> DataFrame:
-    """anchor, context, from, to: ranges of windows that are repeated."""
-    schema = "anchor bigint, context bigint, from int, to int"
+def _compare(pieces: DataFrame) -> DataFrame:
+    """shard, piece, from, to: ranges of windows that are repeated, by the suffix arrays of whole shards."""
+    schema = "shard bigint, piece bigint, from int, to int"
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        hits = repeated([r[5] for r in rows], np.array([r[4] for r in rows]), np.array([r[2] for r in rows], float))
+        hits = repeated([r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[2] for r in rows], float))
         out: list[tuple] = []
         for r, hit in zip(rows, hits, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            out += [(r[0], r[1], r[3] + a, r[3] + b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+            out += [(r[0], r[1], a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
         columns = list(zip(*out, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "context", "from", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "piece", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, shard = 0, None
         for b in batches:
-            for s, *r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held >= SHARD_BYTES and s != shard:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held >= SHARD_BYTES and r[0] != shard:
                     yield block(rows)
                     rows, held = [], 0
-                rows.append(tuple(r))
-                shard, held = s, held + len(r[5])
+                rows.append(r)
+                shard, held = r[0], held + len(r[4])
         if rows:
             yield block(rows)
 
-    dealt = cut.repartition("shard").sortWithinPartitions("shard")
-    return dealt.select("shard", "anchor", "context", "copies", "base", "windows", "bytes").mapInArrow(run, schema)
+    dealt = pieces.repartition("shard").sortWithinPartitions("shard")
+    return dealt.select("shard", "piece", "weight", "windows", "bytes").mapInArrow(run, schema)
+
+
+def _by_window(pieces: DataFrame) -> DataFrame:
+    """shard, piece, from, to of the windows whose bytes another one has, each dealt by its own bytes."""
+    schema = "shard bigint, piece bigint, from int, window binary, weight bigint"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for shard, piece, weight, n, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                view = memoryview(body)
+                for k in range(n):
+                    for column, value in zip(out, (shard, piece, k, xxhash.xxh3_128_digest(view[k : k + LENGTH]), weight), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    windows = stored(pieces.select("shard", "piece", "weight", "windows", "bytes").mapInArrow(run, schema))
+    twice = stored(windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window"))
+    return windows.join(twice, "window").select("shard", "piece", "from", (F.col("from") + 1).alias("to"))
 
 
 def _wanted() -> Column:
@@ -252,9 +284,21 @@ def removals(addressed: DataFrame) -> DataFrame:
     several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     wanted = contexts.join(several, "anchor").withColumn("hot", F.col("n") > HOT)
     by_doc = wanted.groupBy("doc").agg(F.collect_list(_wanted()).alias("wanted"))
-    # Rows that repeat have one address: their contexts are cut from one of them or from each, to the same end.
-    cut = _cut(addressed.select("doc", "body").join(by_doc, "doc")).distinct()
-    ranges = _compare(cut)
+    cut = stored(_cut(addressed.select("doc", "body").join(by_doc, "doc")))
+    # Rows that repeat have one address: their contexts are cut from each of them, to the same end.
+    placed = stored(cut.select("shard", "piece", "anchor", "context", "copies", "base").distinct())
+    weights = placed.groupBy("shard", "piece").agg(F.sum("copies").alias("weight"))
+    bodies = cut.groupBy("shard", "piece").agg(F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    pieces = stored(bodies.join(weights, ["shard", "piece"]))
+    counts = stored(pieces.groupBy("shard").agg(F.count("*").alias("pieces")).filter("pieces > 1"))
+    crowd = F.col("pieces") > HOT
+    several = pieces.join(counts, "shard")
+    found = _compare(several.filter(~crowd))
+    if not counts.filter(crowd).isEmpty():
+        found = found.unionByName(_by_window(several.filter(crowd)))
+    heavy = pieces.filter("weight > 1").select("shard", "piece", F.lit(0).alias("from"), F.col("windows").alias("to"))
+    ranges = stored(found.unionByName(heavy)).join(placed.select("shard", "piece", "anchor", "context", "base"), ["shard", "piece"])
+    ranges = ranges.select("anchor", "context", (F.col("base") + F.col("from")).alias("from"), (F.col("base") + F.col("to")).alias("to")).distinct()
     whole = contexts.filter("copies > 1").select(
         "anchor", "context", F.lit(0).alias("from"), F.col("windows").cast("int").alias("to")
     )

@@ -227,7 +227,7 @@ def repeat_texts(rng):
     ]
 
 
-@pytest.mark.parametrize("hot", [2_000, 0])
+@pytest.mark.parametrize("hot", [2_000, 3, 0])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = repeat_texts(random.Random(5))
@@ -235,6 +235,23 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert [tuple(r)[1:] for r in sorted(got)] == brute_repeats(texts)
 
 
+def test_suffix_dedup_of_a_common_line(spark, monkeypatch):
+    """One line of 260 bytes in the midst of many texts: whole results, and no shard of many pieces."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    sizes = []
+    compare = suffix_dedup._compare
+    monkeypatch.setattr(suffix_dedup, "_compare", lambda p: (sizes.append(p.groupBy("shard").count().agg(F.max("count")).first()[0]), compare(p))[1])
+    rng = random.Random(8)
+    line = prose(rng, 80)[:260]
+    texts = [f"{prose(rng, 45, 10**9)} {line} {prose(rng, 45, 10**9)}" for _ in range(1500)]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string").repartition(4)
+    got = suffix_dedup.digest(df).collect()
+    brute = brute_repeats([*texts, texts[0]])
+    assert [tuple(r)[1:] for r in sorted(r for r in got if r.doc_id is not None)] == brute[:-1]
+    assert [tuple(r)[1:] for r in got if r.doc_id is None] == brute[-1:]
+    assert max(x or 0 for x in sizes) <= 100
+
+
 def test_suffix_dedup_stretches_blocks_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 300)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
