@@ -2,8 +2,9 @@
 
 Each round replaces edges by stars around ever smaller neighbours until every
 node hangs off its component's least node (large-star and small-star).  Groups
-are only reduced to minima, never gathered; rounds are written to the shared
-folder, so a lost executor repeats one round at most.
+are only reduced to minima, never gathered.  Minima are written before they are
+joined back, so that the join reads plain exchanges and a hub's edges can be
+split; rounds are written too, so a lost executor repeats one round at most.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from millrace.llm.shared import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")))
     ties = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return ties.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -34,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        now = stored(_small_star(_large_star(now)).filter("a <> b").distinct())
+        now = stored(_small_star(stored(_large_star(now).distinct())).filter("a <> b").distinct())
         then, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == then:
             break

@@ -20,16 +20,20 @@ components, every member outside the hub's component with every member of other
 components, under the same bounds.  No link between components is lost, and a
 large group of near copies costs one pair for each member, not all pairs.
 
-The boundary between light and heavy is chosen by cost: a size is light while
-its n + 1 digests cost less than scanning the expected lists of its prefix.
+The boundary between light and heavy is the one of least total cost: sizes are
+counted, a light set costs its n + 1 digests, and a heavy one the scan of the
+lists of its prefix, whose lengths are quantiles of the counters below.
 
 Rarity comes from a table of ``BUCKETS`` counters over all shingles of all rows
 (4 MB whatever the input; counters can only overestimate).  It only orders
 shingles: any order gives the same links.
 
 Null and empty texts and texts without words have no set and link with nothing.
-Ids are taken as they are; rows without id are left out of links and are their
-own component (null).  Extra columns are ignored.
+Texts are read whole, whatever their length.  Rows of one id and text are
+copies of each other; an id is one node, so a caller whose ids repeat with other
+texts keys the rows (as the pipeline's stage does).  Rows without id are left out
+of links and are their own component (null).  An empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,16 +188,29 @@ def profile(docs: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame
     return both.filter("n >= 0").select("key", "n", "s1", "s2"), counters
 
 
-def light_limit(counters: np.ndarray, rows: int) -> int:
-    """The largest size whose digests cost less than scanning its prefix's lists, under ``CONTRACT``."""
-    held = counters[counters > 0]
-    # A prefix holds a set's rarest shingles: their lists are those of the lower half of the counters.
-    length = float(np.median(held)) / max(1.0, len(held) / max(1, min(rows, len(held)))) if len(held) else 1.0
-    best = 8
-    for n in range(9, CONTRACT.max_light + 1):
-        if DIGEST_COST * (n + 1) <= SCAN_COST * CONTRACT.prefix_size(n) * max(1.0, length):
-            best = n
-    return best
+def light_limit(counters: np.ndarray, sizes: dict[int, int], rule: Rule = CONTRACT) -> int:
+    """The largest light size: of all boundaries the rule allows, the one of least total cost.
+
+    ``sizes`` counts the sets of each size up to a little beyond ``rule.max_light``.
+    """
+    # List lengths as a set's shingles meet them, less what a counter holds by chance.
+    lengths = np.sort(counters[counters > 0])
+    share = np.cumsum(lengths) / max(1, lengths.sum())
+    chance = lengths.sum() / len(counters)
+
+    def scan(n: int) -> float:
+        """The cost of scanning the lists of the rarest of n shingles."""
+        at = np.searchsorted(share, np.arange(1, rule.prefix_size(n) + 1) / (n + 1)).clip(max=len(lengths) - 1)
+        return SCAN_COST * float(np.maximum(1.0, lengths[at] - chance).sum())
+
+    def total(limit: int) -> float:
+        top = -(-100 * limit // rule.percent)  # heavier sets meet light ones by their digests
+        light = sum(k * DIGEST_COST * (n + 1) for n, k in sizes.items() if rule.least_light <= n <= top)
+        return light + sum(k * scan(n) for n, k in sizes.items() if limit < n)
+
+    if not len(lengths):
+        return rule.max_light
+    return min(range(rule.least_light - 1, rule.max_light + 1), key=total)
 
 
 def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Order, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -295,7 +312,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     # Written, so that the join back to a class of many copies reads plain exchanges, which can be split.
     classes = stored(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class")))
     # Beyond the rule's largest light size, digests of one deletion would miss links.
-    order = Order(counters, min(light_limit(counters, int(rows.count())), rule.max_light))
+    small = rows.filter(F.col("n").between(1, 2 * rule.max_light)).groupBy("n").agg(F.count("*").alias("k"))
+    order = Order(counters, light_limit(counters, {r.n: r.k for r in small.collect()}, rule))
     heavy, light = _entries(docs, classes.select(F.col("class").alias("key"), "n"), key, text, order, rule)
 
     own = light.filter("at = 0").select("s1", "s2", F.col("key").alias("a"), F.col("n").alias("an"))
@@ -337,10 +355,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
         crossed.select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")), docs, key, text, rule
     )
     edges = first.unionByName(second)
-    members = rows.join(classes, ["n", "s1", "s2"], "left").select(
-        "key", "n", F.coalesce("class", "key").alias("class")
-    )
-    return members, edges
+    members = rows.filter("n > 0").join(classes, ["n", "s1", "s2"]).select("key", "n", "class")
+    return members.unionByName(rows.filter("n = 0").select("key", "n", F.col("key").alias("class"))), edges
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:

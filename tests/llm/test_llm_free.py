@@ -168,11 +168,22 @@ def test_jaccard_components(spark, seed):
 def test_jaccard_light_and_heavy_agree(spark, monkeypatch):
     texts = near_texts(random.Random(3))
     for limit in (8, 17):
-        monkeypatch.setattr(jaccard_join, "light_limit", lambda counters, rows, limit=limit: limit)
+        monkeypatch.setattr(jaccard_join, "light_limit", lambda counters, sizes, rule, limit=limit: limit)
         got = jaccard_join.join_components(frame(spark, texts, nulls=False)).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, *x) for i, x in enumerate(brute_components(texts))]
 
 
+def test_boundary_is_the_least_cost():
+    """Long lists make digests cheaper, short ones the scan; and the boundary is where the sum is least."""
+    rare, common = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+    rare[:300], common[:300] = 1, 500
+    sizes = {n: 100 for n in range(1, 30)}
+    rule = jaccard_join.CONTRACT
+    assert jaccard_join.light_limit(common, sizes, rule) == rule.max_light
+    assert jaccard_join.light_limit(rare, sizes, rule) == rule.least_light - 1
+    assert jaccard_join.light_limit(rare * 0, {}, rule) == rule.max_light
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.join_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
