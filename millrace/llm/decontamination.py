@@ -12,10 +12,11 @@ consecutive words of a benchmark item, or all words of a shorter item.
 3. Candidates go back to their documents and every window is compared word by
    word; the union of verified windows gives the hit words.
 
-The join of step 2 broadcasts the names only while their count, which is
-checked, stays within ``MAX_BROADCAST_ROWS``; beyond it Spark shuffles both
-sides.  Documents are keyed by doc_id (null ids by their text), so no group is
+The join of step 2 broadcasts the names only while their size in bytes, item
+words included, is checked to stay within ``MAX_BROADCAST_BYTES``; beyond it
+Spark shuffles both sides.  Documents are keyed by doc_id (null ids by their text), so no group is
 hot; a passage that many documents share costs one row per occurrence.
+Texts are read whole, whatever their length; an empty table gives no rows.
 Null or empty texts have no words; items without words never match; copies of
 items all count; extra columns pass by.
 """
@@ -29,7 +30,7 @@ from millrace.llm.text import ascii_lower, split_words, whole
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WINDOW, SHINGLE = 10, 3
-MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -96,8 +97,10 @@ def _key() -> Column:
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """_key and the distinct (item_id, align, words) that may hold a window."""
     names = _names(benchmark)
-    stats = names.groupBy("size").agg(F.count("*").alias("n")).collect()  # SHINGLE rows at most
-    if sum(r["n"] for r in stats) <= MAX_BROADCAST_ROWS:
+    # Each name carries its item's words: their bytes, headers and the row's own.
+    taken = F.sum(64 + 40 * F.size("words") + F.octet_length(F.array_join("words", "")))
+    stats = names.groupBy("size").agg(taken.alias("n")).collect()  # SHINGLE rows at most
+    if sum(r["n"] for r in stats) <= MAX_BROADCAST_BYTES:
         names = F.broadcast(names)
     words = docs.select(_key(), words_of(F.col("text")).alias("__words"))
     words = words.select("__key", F.size("__words").alias("n"), "__words")

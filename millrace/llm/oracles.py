@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.llm.pii import CONTEXT, REACH
 from millrace.llm.quality_rules import BIT, POLICIES, RULES
 
 SPLIT = "list_filter(regexp_split_to_array({0}, '{1}+'), lambda x: x <> '')"
@@ -25,7 +24,18 @@ LUHN = f"""list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: CAS
 FLAT = "regexp_replace(hit, ' ', '', 'g')"
 MOVED = f"({FLAT}[5:] || {FLAT}[:4])"
 MOD97 = f"""list_reduce([0] || list_transform(string_split({MOVED}, ''), lambda c: ascii(c)), lambda a, v: CASE WHEN v < 58 THEN (a * 10 + v - 48) % 97 ELSE (a * 100 + v - 55) % 97 END) = 1"""
-NEAR = f"""regexp_matches(substring(t, greatest(s - {REACH}, 0) + 1, length(hit) + {2 * REACH}), '(?i)(^|[^a-z])({CONTEXT["ssn"]})')"""
+#: The words that raise a kind's score by 30 of 100, its prior, and the words that lower any.
+KNOWN = {
+    "email": (90, "mail|contact|write|address"), "ip": (60, "ip|host|server|address"), "card": (80, "card|visa|credit|payment"),
+    "phone": (70, "phone|call|tel|mobile"), "iban": (70, "iban|account|bank"), "ssn": (30, "ssn|social|security"),
+}
+
+
+def _said(words: str) -> str:
+    return f"CASE WHEN regexp_matches(substring(t, greatest(start - 40, 0) + 1, length(hit) + 80), '(?i)(^|[^a-z])({words})') THEN 30 ELSE 0 END"
+
+
+SCORE = f"""least(100, CASE kind {' '.join(f"WHEN '{k}' THEN {n} + {_said(w)}" for k, (n, w) in KNOWN.items())} END - {_said("example|sample|dummy|fake|test|version|serial|invoice")})"""
 PII = " UNION ALL ".join(
     [
         _spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0),
@@ -33,15 +43,15 @@ PII = " UNION ALL ".join(
         _spans("card", "[0-9](?:[ -]?[0-9])+", 2, f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}"),
         _spans("phone", r"\+[0-9][ ().0-9-]+[0-9]", 3, f"length({DIGITS}) BETWEEN 8 AND 15"),
         _spans("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", 4, MOD97),
-        _spans("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 5, NEAR),
+        _spans("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 5),
     ]
 )
 _OUT = "kind || ':' || start || ':' || \"end\""
 
-OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({PII}),
+OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), every AS ({PII}), s AS (SELECT * FROM (SELECT *, {SCORE} AS score FROM every) WHERE rank < 4 OR score >= 50),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
-  count(*) FILTER (kind = 'phone') AS n_phone, string_agg({_OUT}, ',' ORDER BY rank, start) FILTER (rank < 4) AS base, string_agg({_OUT}, ',' ORDER BY rank, start) AS spans FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  count(*) FILTER (kind = 'phone') AS n_phone, string_agg({_OUT}, ',' ORDER BY rank, start) FILTER (rank < 4) AS base, string_agg({_OUT}, ',' ORDER BY rank, start) AS spans, count(*) FILTER (score >= 50) AS n_likely FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_likely, 0) AS n_likely, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 VALUE = r"""regexp_extract(hit, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)"""
@@ -60,6 +70,9 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
+LEDGER = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({SECRETS}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+SELECT d.doc_id, t IN (SELECT t FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) AS known, coalesce(n, 0) AS n_findings FROM d LEFT JOIN n USING (doc_id)"""
+
 OP8 = f"""WITH items AS (SELECT item_id, {BENCH_WORDS} AS w FROM benchmark), docs AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents),
 windows AS (SELECT DISTINCT item_id, len(x) AS k, array_to_string(x, ' ') AS win FROM (SELECT item_id, w[i + 1:i + least(10, len(w))] AS x
   FROM items, range(10000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)))),
@@ -93,4 +106,4 @@ b AS (SELECT *, ({_BITS})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {POLICIES["base-1"]}) <> 0 AS base_failed,
   (fail_bits & {POLICIES["full-1"] | POLICIES["base-1"]}) = 0 AS kept, fail_bits FROM b"""
 
-ORACLES = {"op2_pii": OP2, "op4_secret_scan": OP4, "op8_decontamination": OP8, "op9_quality_rules": OP9}
+ORACLES = {"op2_pii": OP2, "secret_ledger": LEDGER, "op4_secret_scan": OP4, "op8_decontamination": OP8, "op9_quality_rules": OP9}

@@ -5,13 +5,14 @@ about ``BLOCK_TOKENS`` tokens; nothing is shuffled and a block bounds memory.
 Within a block every run of ``capacity`` tokens of a long document is a
 sequence of its own.  The remainders, longest first, go to the sequence of
 lowest attention cost (linear plus quadratic in the piece lengths) that has
-room.  If none of the ``LOOK`` cheapest has room for all of it, the remainder is
-cut and the cheapest sequence filled.  There are just as many full sequences as
+room.  If no sequence has room for all of it, the remainder is cut and the
+cheapest sequence filled.  There are just as many full sequences as
 the tokens fill; what is left goes to sequences whose lengths are powers of
 two, so nothing is padded.
 
 Null texts count as empty and consist of the end id alone.  Null or repeated
-ids are carried along.  A task that runs again on the same split gives the same
+ids are carried along; a text of any length is read whole; an empty table gives
+no rows; extra columns are ignored.  A task that runs again on the same split gives the same
 pieces: order within a block is by length, then by id, then by position.
 """
 
@@ -31,7 +32,6 @@ from millrace.llm.tokens import word_ids
 CAPACITY, END_ID = 4096, 2
 BLOCK_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-LOOK = 16
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, sequence_tokens bigint, sequence_cost double"
@@ -64,6 +64,10 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int
     full, tail = divmod(total, capacity)
     open_ = [(0.0, len(fills) + i) for i in range(full)]  # (cost, sequence): a heap
     room = {s: capacity for _, s in open_}
+    # How many open sequences have each room, and the most that any has.
+    held = [0] * (capacity + 1)
+    held[capacity] = len(open_)
+    most = capacity if open_ else 0
     fills += [capacity] * full
     small = [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if tail >> b & 1]
     for n, d, at in rest:
@@ -72,19 +76,23 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int
                 # Only the powers of two are left; each is filled before the next opens.
                 s = len(fills)
                 fills.append(small.pop(0))
-                room[s] = fills[-1]
+                room[s] = most = fills[-1]
+                held[most] += 1
                 heapq.heappush(open_, (0.0, s))
+            while most and not held[most]:
+                most -= 1
             seen = [heapq.heappop(open_)]
-            while room[seen[-1][1]] < n and open_ and len(seen) < LOOK:
+            while n <= most and room[seen[-1][1]] < n:
                 seen.append(heapq.heappop(open_))
-            pick = seen.pop() if room[seen[-1][1]] >= n else seen.pop(0)
+            was, s = seen.pop()
             for x in seen:
                 heapq.heappush(open_, x)
-            was, s = pick
             take = min(n, room[s])
             pieces.append((d, at, take, s, fills[s] - room[s]))
+            held[room[s]] -= 1
             room[s] -= take
             if room[s]:
+                held[room[s]] += 1
                 heapq.heappush(open_, (was + cost(take), s))
             n, at = n - take, at + take
     return pieces, fills

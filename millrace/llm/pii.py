@@ -1,12 +1,13 @@
 """Personal data in texts (native DataFrame functions only).
 
 Regular expressions propose spans, checksums confirm them (Luhn for payment
-cards, mod-97 for bank account numbers), and words near a span adjust its
-score.  The base kinds are always kept, whatever their score; ``iban`` and
+cards, mod-97 for bank account numbers), and words near a span raise or lower
+its score.  The base kinds are always kept, with their score; ``iban`` and
 ``ssn`` are reported only at ``MIN_SCORE`` or more.
 
-Row-local: no shuffle.  Null texts count as empty; repeated rows give repeated
-findings; other columns pass through, except those named like the results.
+Row-local: no shuffle.  Null texts count as empty; texts are read whole, in time
+linear in their length; repeated rows give repeated findings; an empty table
+gives no rows; other columns pass through, except those named like the results.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ CONTEXT = {
     "iban": "iban|account|bank",
     "ssn": "ssn|social|security",
 }
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
-REACH, BONUS, MIN_SCORE = 40, 0.3, 0.5
+#: Words that make every kind less likely.
+DOUBT = "example|sample|dummy|fake|test|version|serial|invoice"
+#: Scores are hundredths.
+PRIOR = {"email": 90, "ip": 60, "card": 80, "phone": 70, "iban": 70, "ssn": 30}
+REACH, RAISE, LOWER, MIN_SCORE = 40, 30, 30, 50
 BASE = ("email", "ip", "card", "phone")
 
 
@@ -67,15 +71,16 @@ def mod97(hit: Column) -> Column:
 def _scored(text: Column, spans: Column, kind: str) -> Column:
     def one(s: Column) -> Column:
         near = F.substr(text, F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1, (s["end"] - s["start"] + 2 * REACH).cast("int"))
-        bonus = F.when(near.rlike(rf"(?i)(?<![a-z])(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0)
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + bonus)
+        said = lambda words: near.rlike(rf"(?i)(?<![a-z])(?:{words})")
+        change = F.when(said(CONTEXT[kind]), RAISE).otherwise(0) - F.when(said(DOUBT), LOWER).otherwise(0)
+        score = F.least(F.lit(100), F.lit(PRIOR[kind]) + change)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
     return F.transform(spans, one)
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one array<struct<kind,start,end,score>> column for each kind."""
+    """``docs`` with one array<struct<kind,start,end,score (hundredths)>> column for each kind."""
     body = whole(F.col(text))
     n = lambda hit: F.length(_digits(hit))
     keep = {
@@ -87,20 +92,29 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         "ssn": None,
     }
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
-    raw = docs.withColumns({f"_{k}": matches(body, p, k, keep[k]) for k, p in patterns.items()})
-    out = raw.withColumns({k: _scored(body, F.col(f"_{k}"), k) for k in patterns})
+    raw = docs.withColumns({f"__pii_{k}": matches(body, p, k, keep[k]) for k, p in patterns.items()})
+    out = raw.withColumns({k: _scored(body, F.col(f"__pii_{k}"), k) for k in patterns})
     out = out.withColumns(
         {k: F.filter(k, lambda s: s["score"] >= MIN_SCORE) for k in patterns if k not in BASE}
     )
-    return out.drop(*[f"_{k}" for k in patterns])
+    return out.drop(*[f"__pii_{k}" for k in patterns])
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every pattern's confirmed base match replaced by its kind (emails, phones)."""
-    body = F.col(text)
-    for kind, pattern in (("email", EMAIL), ("phone", PHONE)):
-        body = F.regexp_replace(body, pattern, f"<{kind}>")
-    return docs.withColumn(text, body)
+def redact(found: DataFrame, text: str = "text", kinds: tuple[str, ...] = ("email", "phone")) -> DataFrame:
+    """``found`` (of ``find``) with each confirmed span of ``kinds`` replaced by its kind in angle brackets;
+    of spans that overlap the first counts."""
+    body = whole(F.col(text))
+    places = F.array_sort(F.transform(F.concat(*[F.col(k) for k in kinds]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(body, acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
+        out = F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))
+        ahead = F.struct(s["end"].cast("int").alias("at"), out.alias("out"))
+        return F.when(s["start"] >= acc["at"], ahead).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
+    return found.withColumn(text, F.when(F.size(places) > 0, clean).otherwise(F.col(text)))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -111,4 +125,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(every).alias("spans"),
+        F.size(F.filter(every, lambda s: s["score"] >= MIN_SCORE)).cast("long").alias("n_likely"),
     )

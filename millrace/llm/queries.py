@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 
 from millrace.llm.oracles import ORACLES  # noqa: F401
+from millrace.llm.shared import shared_folder, stored
+from millrace.sources.tables import table as _table
 
 #: Tokenizer files; a cluster may keep them elsewhere.
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORD_MODEL)
 
@@ -35,6 +36,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the labelled documents first, then all; findings of the second, with
+    whether the first had scanned the text already."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    secrets.scan_into(path, labelled, path="doc_id")
+    before = stored(spark.read.parquet(path).select("blob", F.lit(True).alias("known")))
+    found = secrets.scan_into(path, docs, path="doc_id")
+    found = found.join(before, "blob", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return found.select(F.col("path").alias("doc_id"), "known", F.size("findings").cast("long").alias("n_findings"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +89,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_pii, op3_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_toxicity, op7_chat, op8_decontamination,
-        op9_quality_rules, op10_quality_classifier,
+        op9_quality_rules, op10_quality_classifier, secret_ledger,
     )
 }

@@ -7,7 +7,8 @@ pairs, and findings are joined back to every path that holds the blob.
 Texts cross the network once, keyed by path; the dedup itself moves digests
 only.  The join back is a left outer equi-join on the digest, whose hot side
 (many paths of one blob) adaptive execution can split.  Null texts count as
-empty, repeated rows are kept, extra columns are ignored.
+empty, repeated rows are kept, texts are read whole, an empty table gives no
+rows, extra columns are ignored.  ``scan_into`` keeps the ledger as Parquet.
 """
 
 from __future__ import annotations
@@ -90,6 +91,19 @@ def scan_versions(
     return new, found.withColumn("findings", F.coalesce("findings", F.array().cast(SPAN)))
 
 
+def scan_into(ledger_path: str, versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Findings of every version, by the ledger kept at ``ledger_path`` (a folder that driver and
+    executors share; made by the first run), to which the newly scanned blobs are appended."""
+    spark = versions.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    known = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+    # A copy, because the folder grows while the findings are still to be read.
+    ledger = stored(spark.read.parquet(ledger_path)) if known else None
+    new, found = scan_versions(versions, path, text, ledger)
+    new.write.mode("append").parquet(ledger_path)
+    return found
+
+
 def digest(found: DataFrame) -> DataFrame:
     base = F.filter("findings", lambda s: s["rank"] < 3)
     return found.select(

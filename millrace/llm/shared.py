@@ -1,3 +1,3 @@
 """Tables written to the folder that driver and executors share."""
 
-from millrace.operators.storage import stored  # noqa: F401
+from millrace.operators.storage import shared_folder, stored  # noqa: F401

@@ -78,6 +78,47 @@ def test_assignment_balances_cost():
     assert packing.assign([]) == ([], [])
 
 
+def brute_assign(lengths, capacity):
+    """Every remainder, longest first, to the sequence of least cost with room; else cut into the cheapest."""
+    whole = [(d, at, capacity) for d, n in enumerate(lengths) for at in range(0, n - capacity + 1, capacity)]
+    sequences = [[x] for x in whole]
+    rest = sorted(((n % capacity, d) for d, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
+    full, tail = divmod(sum(n for n, _ in rest), capacity)
+    sizes = [capacity] * len(whole) + [capacity] * full + [1 << b for b in range(20, -1, -1) if tail >> b & 1]
+    sequences += [[] for _ in sizes[len(whole) :]]
+    cost = lambda s: sum(packing.cost(x[2]) for x in s)
+    last = len(whole) + full
+    for n, d in rest:
+        at = lengths[d] - n
+        while n:
+            room = [sizes[i] - sum(x[2] for x in s) for i, s in enumerate(sequences)]
+            some = [i for i in range(last) if room[i]]
+            if not some:
+                last += 1
+                continue
+            fit = [i for i in some if room[i] >= n] or some
+            i = min(fit, key=lambda i: (cost(sequences[i]), i))
+            take = min(n, room[i])
+            sequences[i].append((d, at, take))
+            n, at = n - take, at + take
+    return sorted((*x, i) for i, s in enumerate(sequences) for x in s)
+
+
+def test_assignment_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity = rng.choice([16, 64])
+        lengths = [rng.randrange(1, capacity * 2) for _ in range(rng.randrange(40))]
+        pieces, _ = packing.assign(lengths, capacity)
+        assert sorted((d, at, n, s) for d, at, n, s, _ in pieces) == brute_assign(lengths, capacity)
+
+
+def test_packing_of_no_rows_and_of_repeated_ids(spark):
+    assert packing.pack(spark.createDataFrame([], SCHEMA), MODEL).count() == 0
+    rows = packing.pack(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d")], "doc_id bigint, text string"), MODEL).collect()
+    assert sum(r.length for r in rows) == 3 * 1 + sum(len(Tokenizer.from_file(MODEL).encode(t, add_special_tokens=False).ids) for t in ("a b c", "a b c", "d"))
+
+
 # --- chat --------------------------------------------------------------------------------------
 
 CONVERSATIONS = {

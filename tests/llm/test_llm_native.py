@@ -65,6 +65,24 @@ def test_pii_base_spans(spark):
     assert "iban:5:32" in more and "ssn:40:51" in more
 
 
+def test_pii_context_raises_and_lowers(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32", "a sample: GB82 WEST 1234 5698 7654 32", "sample IBAN GB82 WEST 1234 5698 7654 32", "ssn 078-05-1120", "078-05-1120", "test ssn 078-05-1120",
+             "see 1.2.3.4", "version 1.2.3.4"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").withColumn("_email", F.lit("mine"))
+    rows = pii.find(df).orderBy("doc_id").collect()
+    assert [[s.score for s in r.iban] for r in rows[:3]] == [[70], [], [70]]
+    assert [[s.score for s in r.ssn] for r in rows[3:6]] == [[60], [], []]
+    assert [[s.score for s in r.ip] for r in rows[6:]] == [[60], [30]] and rows[0]._email == "mine"
+    assert [r.n_likely for r in pii.digest(pii.find(df)).orderBy("doc_id").collect()] == [1, 0, 1, 1, 0, 0, 1, 0]
+
+
+def test_pii_redaction(spark):
+    texts = ["call +1 (017) 555-7713 or a.b@c.org now", "+1-2 stays, x@y too", None, ""]
+    found = pii.find(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"))
+    got = [r.text for r in pii.redact(found).orderBy("doc_id").collect()]
+    assert got == ["call <phone> or <email> now", *texts[1:]]
+
+
 def brute_secrets(t):
     t = t or ""
     a = [
@@ -94,6 +112,20 @@ def test_secrets_and_incremental_ledger(spark):
     assert secrets.scan_versions(df, path="doc_id", ledger=other)[0].count() == new.count()
 
 
+def test_ledger_on_disk(spark, tmp_path):
+    """Two versions of a corpus: the second run scans its new texts alone, its findings are whole."""
+    df = docs(spark, TEXTS)
+    path = str(tmp_path / "ledger")
+    first = secrets.scan_into(path, df.filter("doc_id < 5"), path="doc_id").count()
+    assert first == df.filter("doc_id < 5").count()
+    held = spark.read.parquet(path).count()
+    second = secrets.digest(secrets.scan_into(path, df, path="doc_id")).collect()
+    assert sorted(map(str, second)) == sorted(map(str, secrets.digest(secrets.scan_versions(df, path="doc_id")[1]).collect()))
+    assert 0 < held < spark.read.parquet(path).count() == len({t or "" for t in TEXTS})
+    secrets.scan_into(path, df, path="doc_id").count()
+    assert spark.read.parquet(path).count() == len({t or "" for t in TEXTS})
+
+
 def words(t):
     low = re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -131,7 +163,7 @@ def test_decontamination_windows(spark):
 
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_decontamination_with_and_without_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontamination, "MAX_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", limit)
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     hits = decontamination.contaminated(docs(spark, HAYS), items).filter("contaminated").count()
     assert hits == sum(brute_hits(t, ITEMS)[4] for t in [*HAYS, HAYS[0], HAYS[0]])
