@@ -49,19 +49,21 @@ ELIGIBLE = f"""
 tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1
   THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 n AS (SELECT doc_id, text, {NORM} AS norm FROM documents WHERE NOT {SENSITIVE}),
-elig AS (SELECT doc_id, norm, regexp_extract_all(norm, '[0-9]+(?:\\.[0-9]+)?') AS numbers,
+elig AS MATERIALIZED (SELECT doc_id, norm, regexp_extract_all(norm, '[0-9]+(?:\\.[0-9]+)?') AS numbers,
   list_distinct(list_transform(range(1, length(norm) - 5), lambda i: substring(norm, i, 7))) AS grams FROM n WHERE length(norm) >= 300),
 uniq AS (SELECT DISTINCT unnest(grams) AS gram FROM elig),
 crc AS (SELECT gram, xor(list_reduce([4294967295] || list_transform(range(0, length(hex(encode(gram))) // 2),
   lambda i: ('0x' || substring(hex(encode(gram)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295) AS h
   FROM uniq, tab),
 low AS (SELECT doc_id, list_sort(list_distinct(list(h))) [1:12] AS h FROM (SELECT doc_id, unnest(grams) AS gram FROM elig) JOIN crc USING (gram) GROUP BY doc_id),
-keys AS (SELECT doc_id, h[2 * i + 1] AS h1, h[2 * i + 2] AS h2 FROM low, range(6) r(i) WHERE h[2 * i + 2] IS NOT NULL)"""
+keys AS MATERIALIZED (SELECT doc_id, h[2 * i + 1] AS h1, h[2 * i + 2] AS h2 FROM low, range(6) r(i) WHERE h[2 * i + 2] IS NOT NULL)"""
 PAIRS = """
-cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM keys x JOIN keys y ON x.h1 = y.h1 AND x.h2 = y.h2 AND y.doc_id < x.doc_id),
-pairs AS (SELECT a, b, len(list_intersect(x.grams, y.grams)) / (len(x.grams) + len(y.grams) - len(list_intersect(x.grams, y.grams))) AS similarity
-  FROM cand JOIN elig x ON x.doc_id = a JOIN elig y ON y.doc_id = b
-  WHERE x.numbers = y.numbers AND least(length(x.norm), length(y.norm)) / greatest(length(x.norm), length(y.norm)) >= 0.8)"""
+cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM keys x JOIN keys y ON x.h1 = y.h1 AND x.h2 = y.h2 AND y.doc_id < x.doc_id),
+close AS (SELECT a, b, len(x.grams) + len(y.grams) AS total FROM cand JOIN elig x ON x.doc_id = a JOIN elig y ON y.doc_id = b
+  WHERE x.numbers = y.numbers AND least(length(x.norm), length(y.norm)) / greatest(length(x.norm), length(y.norm)) >= 0.8),
+held AS MATERIALIZED (SELECT doc_id, hash(unnest(grams)) AS gram FROM elig WHERE doc_id IN (SELECT a FROM close UNION ALL SELECT b FROM close)),
+common AS (SELECT a, b, total, count(*) AS n FROM close JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b AND y.gram = x.gram GROUP BY a, b, total),
+pairs AS (SELECT a, b, n / (total - n) AS similarity FROM common)"""
 FIRST = f"firsts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {NORM}) AS first FROM documents)"
 
 
