@@ -221,6 +221,12 @@ def chunk_id(text: Column) -> Column:
     return F.substring(F.sha2(F.regexp_replace(text, r"(?U)\s+", ""), 256), 1, 16)
 
 
+def normalize_plain(text: Column) -> Column:
+    """Lines of white space emptied, three line ends or more to two, none at the ends; indentation stays."""
+    rows = F.transform(F.split(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK), lambda x: F.when(x.rlike(r"(?U)\S"), x).otherwise(""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(rows, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+
+
 def length_bin(n: Column) -> Column:
     return (
         F.when(n <= 200, "0-200").when(n <= 1000, "201-1000").when(n <= 4000, "1001-4000")

@@ -46,6 +46,15 @@ def paragraphs(text: Column, target: int = 2000, overlap: int = 0) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]))
 
 
+def index_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2000) -> DataFrame:
+    """key, pos, chunk for a search index: structure chunks, each cut into slices of ``size``."""
+    rows = structure(docs, key, text)
+    starts = F.sequence(F.lit(0), F.length("chunk") - 1, F.lit(size))
+    rows = rows.select(key, "pos", "chunk", F.posexplode(starts).alias("part", "start"))
+    slice_ = F.substr("chunk", F.col("start") + 1, F.lit(size))
+    return rows.select(key, "pos", "part", slice_.alias("chunk"))
+
+
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", stride: int = 1000, width: int = 1400) -> DataFrame:
     """key, start, passage: overlapping windows; starts count from 0."""
     n = F.length(text)

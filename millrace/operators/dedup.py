@@ -182,6 +182,21 @@ def released(docs: DataFrame, prior: DataFrame, key: str = "doc_id", text: str =
     return docs.select(key, digest).join(old, "digest").select(key, "released_id")
 
 
+def released_near(docs: DataFrame, prior: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, released_id, similarity: rows that nearly match a row of a prior release but equal none;
+    the earliest match counts."""
+    new = docs.join(released(docs, prior, key, text).select(key), key, "left_anti")
+    best = near_pairs(new, prior, key, text).groupBy("a").agg(F.min(F.struct("b", "similarity")).alias("m"))
+    return best.select(F.col("a").alias(key), F.col("m.b").alias("released_id"), F.col("m.similarity").alias("similarity"))
+
+
+def first_of(rows: DataFrame, order: str, identity: Column, manifest: DataFrame | None = None) -> DataFrame:
+    """``rows`` with id (``identity``): the first row of each id that ``manifest`` (id) lacks."""
+    named = rows.withColumn("id", identity)
+    kept = first_per_key(named, ["id"], order).filter(F.col("first") == F.col(order)).drop("first")
+    return kept if manifest is None else kept.join(manifest.select("id"), "id", "left_anti").select(named.columns)
+
+
 def unseen(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Rows whose key no manifest row has; the first of equal keys stays."""
     return rows.join(manifest.select(key), key, "left_anti").dropDuplicates([key])

@@ -88,11 +88,10 @@ def integrity(rows: DataFrame, key: str) -> DataFrame:
 def context_packs(units: DataFrame, by: str, order: str, size: str, capacity: int) -> DataFrame:
     """by, order, pack: neighbouring units of a source share a pack of about ``capacity`` bytes.
 
-    Packs follow from a running sum, so a source of any length is a window scan
-    and no group is gathered.
+    Packs follow from a running sum over ranges, so a source of any size is
+    spread over many tasks and no group is gathered.
     """
-    from pyspark.sql import Window
+    from millrace.operators.review import running
 
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return units.select(by, order, F.floor(before / capacity).cast("long").alias("pack"))
+    placed = running(units.select(by, order, size), by, [order], F.col(size), "_before")
+    return placed.select(by, order, F.floor(F.col("_before") / capacity).cast("long").alias("pack"))

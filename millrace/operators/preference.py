@@ -43,7 +43,7 @@ def same_answer(a: Column, b: Column) -> Column:
 
 def rlaif(candidates: DataFrame, prompt: str, order: str, score: str) -> DataFrame:
     """prompt, preference_rank, key, score: responses ranked by score, earliest first among equals."""
-    item = F.struct((-F.col(score)).alias("less"), order)
-    ranked = candidates.groupBy(prompt).agg(F.sort_array(F.collect_list(item)).alias("r"))
-    rows = ranked.select(prompt, F.posexplode("r").alias("pos", "x"))
-    return rows.select(prompt, (F.col("pos") + 1).alias("preference_rank"), F.col(f"x.{order}").alias(order), (-F.col("x.less")).alias(score))
+    from millrace.operators.review import running
+
+    placed = running(candidates.select(prompt, order, score), prompt, [f"-{score}", order], F.lit(1), "_at")
+    return placed.select(prompt, (F.col("_at") + 1).cast("int").alias("preference_rank"), order, score)

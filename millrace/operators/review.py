@@ -68,25 +68,43 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("y").isNull(), "left").otherwise("right").alias("side"))
 
 
+def running(rows: DataFrame, by: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of its group that come before; a name
+    in ``order`` that starts with a minus sign descends.
+
+    A range partitioning by group and order, and one sum for each group of each
+    partition: a group that holds much of the table is spread over many tasks.
+    """
+    from millrace.operators.storage import stored
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+    placed = stored(rows.withColumn("_value", value).repartitionByRange(n, F.col(by).asc(), *keys).withColumn("_part", F.spark_partition_id()))
+    past = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(by, "_part").agg(F.sum("_value").alias("_sum"))
+    sums = sums.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("_part", by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn("_own", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
+    both = own.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return both.withColumn(name, (F.col("_own") + F.col("_off")).cast("long")).select(*rows.columns, name)
+
+
 def positions(rows: DataFrame, by: str, order: str) -> DataFrame:
     """``rows`` with position in their queue, from 0."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    return running(rows, by, [order], F.lit(1), "position")
 
 
 def revisions(rows: DataFrame, base: Column, order: str) -> DataFrame:
     """``rows`` with revision: <base>-rN in order of arrival."""
-    w = Window.partitionBy("_base").orderBy(order)
-    named = rows.withColumn("_base", base)
-    return named.withColumn("revision", F.concat("_base", F.lit("-r"), F.row_number().over(w).cast("string"))).drop("_base")
+    placed = running(rows.withColumn("_base", base), "_base", [order], F.lit(1), "_n")
+    return placed.withColumn("revision", F.concat("_base", F.lit("-r"), (F.col("_n") + 1).cast("string"))).drop("_base", "_n")
 
 
 def stable_sample(rows: DataFrame, by: str, key: Column, percent: float, cap: int) -> DataFrame:
     """The least hashes of each group: min(n, cap, ceil(n * percent / 100)) rows, the same on every run."""
-    ranked = rows.withColumn("_rank", F.sha2(key, 256))
-    n = Window.partitionBy(by)
-    size = F.least(F.lit(cap), F.ceil(F.count("*").over(n) * percent / 100))
-    order = F.row_number().over(n.orderBy("_rank"))
-    return ranked.withColumns({"_size": size, "_order": order}).filter("_order <= _size").drop("_rank", "_size", "_order")
+    sizes = rows.groupBy(F.col(by).alias("_g")).agg(F.least(F.lit(cap), F.ceil(F.count("*") * percent / 100)).alias("_size"))
+    placed = running(rows.withColumn("_rank", F.sha2(key, 256)), by, ["_rank"], F.lit(1), "_at")
+    return placed.join(sizes, F.col(by).eqNullSafe(F.col("_g"))).filter("_at < _size").select(*rows.columns)
 
 
 def escalate(outcomes: DataFrame, by: str, failed: Column, percent: float) -> DataFrame:

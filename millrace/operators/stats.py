@@ -57,3 +57,27 @@ def histogram(df: DataFrame, bins: Column, every: list[str]) -> DataFrame:
     return names.join(df.groupBy(bins.alias("bin")).agg(F.count("*").alias("n")), "bin", "left").select(
         "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
+
+
+def coverage(rows: DataFrame, dimensions: list[str], limit: int = 12) -> DataFrame:
+    """dimension, value, accepted: the most frequent values of each dimension, by count and then by value."""
+    from millrace.operators.search import top
+
+    said = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
+    counts = rows.select(F.explode(said).alias("d")).select("d.*").filter("value IS NOT NULL").groupBy("dimension", "value").agg(F.count("*").alias("accepted"))
+    return top(counts, "dimension", "value", "accepted", limit).select("dimension", "value", "accepted")
+
+
+def rewards(rows: DataFrame, reward: str) -> DataFrame:
+    """count, correct, accuracy (null of no rows) of rewards of 0 or 1; anything else is an error."""
+    bad = F.raise_error(F.lit("reward is neither 0 nor 1")).cast("int")
+    value = F.when(F.col(reward).isin(0, 1), F.col(reward)).otherwise(bad)
+    return rows.select(value.alias("r")).agg(F.count("r").alias("count"), F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("correct"), F.avg("r").alias("accuracy"))
+
+
+def shard_audit(rows: DataFrame, by: list[str], text: str) -> DataFrame:
+    """by, rows, empty, chars, longest of a corpus; of its columns these alone are read."""
+    n = F.length(text)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.count_if(F.coalesce(n, F.lit(0)) == 0).alias("empty"), F.coalesce(F.sum(n), F.lit(0)).alias("chars"), F.max(n).alias("longest")
+    )

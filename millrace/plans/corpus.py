@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import decontamination, dedup, quality, stats
+from millrace.operators import decontamination, dedup, preference, quality, stats
 from millrace.plans.registry import query, table
 
 # DuckDB fragments.  RE2 has no look-around, so (^|[^..]) stands in for it where only a hit matters.
@@ -249,3 +249,65 @@ def a7(spark, d):
 def a8(spark, d):
     df = quality.verdict(table(spark, d, "documents"))
     return df.groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+APART = PAIRS.replace("y.doc_id < x.doc_id", "x.doc_id NOT IN (SELECT doc_id FROM labels) AND y.doc_id IN (SELECT doc_id FROM labels)")
+
+
+@query("d8_cross_release_near", f"""WITH {ELIGIBLE}, {APART}, equal AS (SELECT doc_id FROM documents WHERE {NORM} IN (SELECT {NORM} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)))
+  SELECT a AS doc_id, min(b) AS released_id, round(arg_min(similarity, b), 6) AS similarity FROM pairs WHERE similarity >= 0.9 AND a NOT IN (FROM equal) GROUP BY a""")
+def d8_near(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    prior, new = docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti")
+    return dedup.released_near(new, prior).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("d13_corpus_precedence")
+def d13_corpus(spark, d):
+    """Benchmark overlaps, then what the labelled documents (a prior release) hold, then duplicates."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    prior, new = docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti")
+    return decontamination.corpus_precedence(new, decontamination.checked(table(spark, d, "benchmark")), prior)
+
+
+@query("d23_overlap_report", f"""WITH {REF}, {NORMED}, e AS (SELECT DISTINCT doc_id FROM n JOIN ref ON norm = ref OR (length(ref) >= 24 AND contains(norm, ref)))
+  SELECT (SELECT count(*) FROM ref) AS reference_rows, (SELECT count(*) FROM ref WHERE length(ref) < 24) AS short_for_embedded, (SELECT count(*) FROM e) AS verbatim_overlaps, 0::BIGINT AS near_overlaps""")
+def d23(spark, d):
+    ref = decontamination.checked(table(spark, d, "benchmark"))
+    return decontamination.report(decontamination.precedence(table(spark, d, "documents"), ref), ref)
+
+
+@query("d16_preference_merge", """WITH p AS (SELECT conv_id, turn, substring(sha256(concat_ws(chr(31), role, text)), 1, 16) AS id FROM conversations)
+  SELECT id, min(conv_id * 1000 + turn)::BIGINT AS at FROM p GROUP BY id""")
+def d16(spark, d):
+    rows = table(spark, d, "conversations").withColumn("at", (F.col("conv_id") * 1000 + F.col("turn")).cast("long"))
+    return dedup.first_of(rows, "at", preference.pair_id(F.col("role"), F.col("text"))).select("id", "at")
+
+
+@query("d17_question_manifest", """SELECT sha256(text) AS id, min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY 1""")
+def d17(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    seen = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("id"))
+    return dedup.first_of(docs, "doc_id", F.sha2("text", 256), seen).select("id", "doc_id")
+
+
+@query("c1_plain_text", f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(regexp_replace(text, '({BREAK})$', ''), '{BREAK}'),
+  lambda x: CASE WHEN regexp_matches(x, '[^\\s\\x{{00a0}}\\x{{0085}}\\x{{3000}}]') THEN x ELSE '' END), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest FROM documents""")
+def c1(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_plain(F.col("text")), 256).alias("digest"))
+
+
+@query("a15_dimension_coverage", """WITH c AS (SELECT 'lang' AS dimension, lang AS value, count(*) AS accepted FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2)
+  SELECT dimension, value, accepted FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY accepted DESC, value) AS r FROM c WHERE value IS NOT NULL) WHERE r <= 12""")
+def a15(spark, d):
+    return stats.coverage(table(spark, d, "documents"), ["lang", "source"])
+
+
+@query("a18_reward_summary", "SELECT count(quality) AS count, coalesce(sum(quality), 0)::BIGINT AS correct, avg(quality) AS accuracy FROM labels")
+def a18(spark, d):
+    return stats.rewards(table(spark, d, "labels"), "quality")
+
+
+@query("s14_shard_audit", "SELECT source, lang, count(*) AS rows, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty, coalesce(sum(length(text)), 0)::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY 1, 2")
+def s14(spark, d):
+    return stats.shard_audit(table(spark, d, "documents"), ["source", "lang"], "text")

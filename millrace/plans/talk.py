@@ -94,6 +94,13 @@ def c3_rejoined(spark, d):
     return df.filter("t <> ''").select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("chars"))
 
 
+@query("c9_index_chunks", "SELECT doc_id, sum(length(text))::BIGINT AS chars, true AS cut FROM documents WHERE length(trim(text)) > 0 GROUP BY doc_id")
+def c9(spark, d):
+    """Slices of chunks, checked by what they hold in all and by their length."""
+    rows = chunking.index_chunks(table(spark, d, "documents"))
+    return rows.groupBy("doc_id").agg(F.sum(F.length("chunk")).alias("chars"), (F.max(F.length("chunk")) <= 2000).alias("cut"))
+
+
 CHUNKS = """w AS (SELECT doc_id, s // 1000 AS pos, substring(text, s + 1, 1400) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS s FROM documents))"""
 ID = f"substring(sha256(regexp_replace(chunk, '{WS}+', '', 'g')), 1, 16)"
 
