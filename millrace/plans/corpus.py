@@ -311,3 +311,27 @@ def a18(spark, d):
 @query("s14_shard_audit", "SELECT source, lang, count(*) AS rows, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty, coalesce(sum(length(text)), 0)::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY 1, 2")
 def s14(spark, d):
     return stats.shard_audit(table(spark, d, "documents"), ["source", "lang"], "text")
+
+
+MADE = "made AS (SELECT doc_id, repeat(substring(replace(o.text, chr(10), ' '), 1, 60) || chr(10), (1 + doc_id % 12)::INT) || substring(o.text, 1, 200) AS text FROM documents o)"
+
+
+@query("p8_lines_made_to_repeat", f"""WITH {MADE}, d AS (SELECT doc_id, length(text) AS n, {LINES} AS ls FROM made),
+    l AS (SELECT doc_id, n, unnest(ls) AS line FROM d),
+    c AS (SELECT doc_id, n, line, count(*) AS times FROM l WHERE length(line) >= 24 GROUP BY doc_id, n, line HAVING count(*) >= 8)
+    SELECT doc_id, max(times) AS times, sum((times - 1) * length(line))::BIGINT AS chars FROM c GROUP BY doc_id, n HAVING sum((times - 1) * length(line)) >= n // 4""")
+def p8_made(spark, d):
+    """A start of every text on one to twelve lines, so that the rule fires."""
+    line = F.concat(F.substring(F.regexp_replace("text", "\n", " "), 1, 60), F.lit("\n"))
+    made = F.concat(F.repeat(line, (1 + F.col("doc_id") % 12).cast("int")), F.substring("text", 1, 200))
+    docs = table(spark, d, "documents").select("doc_id", made.alias("text"))
+    return quality.repeated_lines(docs, "doc_id").select("doc_id", "times", "chars")
+
+
+@query("d9_whole_records_found", f"""WITH {REF}, n AS (SELECT doc_id, '' AS norm FROM documents WHERE false UNION ALL SELECT item_id, ref FROM ref)
+  SELECT n.doc_id, min(item_id) AS item_id FROM n JOIN ref ON norm = ref GROUP BY n.doc_id""")
+def d9_found(spark, d):
+    """The benchmark itself in other white space, so that every record is found."""
+    items = table(spark, d, "benchmark")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit(" \n"), F.regexp_replace("text", " ", "  "), F.lit("\t")).alias("text"))
+    return decontamination.whole(docs, decontamination.checked(items))
