@@ -64,36 +64,57 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int
     full, tail = divmod(total, capacity)
     open_ = [(0.0, len(fills) + i) for i in range(full)]  # (cost, sequence): a heap
     room = {s: capacity for _, s in open_}
+    now = dict.fromkeys(room, 0.0)  # the cost of each open sequence; heap entries of another cost are stale
+    every = list(open_)
     # How many open sequences have each room, and the most that any has.
     held = [0] * (capacity + 1)
     held[capacity] = len(open_)
     most = capacity if open_ else 0
+    # Sequences without room for the last remainder wait, by room, until remainders are that short.
+    parked: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    below = 0
     fills += [capacity] * full
     small = [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if tail >> b & 1]
     for n, d, at in rest:
         while n:
-            if not open_:
+            while most and not held[most]:
+                most -= 1
+            if not most:
                 # Only the powers of two are left; each is filled before the next opens.
                 s = len(fills)
                 fills.append(small.pop(0))
                 room[s] = most = fills[-1]
+                now[s] = 0.0
                 held[most] += 1
                 heapq.heappush(open_, (0.0, s))
-            while most and not held[most]:
-                most -= 1
-            seen = [heapq.heappop(open_)]
-            while n <= most and room[seen[-1][1]] < n:
-                seen.append(heapq.heappop(open_))
-            was, s = seen.pop()
-            for x in seen:
-                heapq.heappush(open_, x)
+                heapq.heappush(every, (0.0, s))
+            if n <= most:
+                for r in range(n, below):
+                    for x in parked[r]:
+                        heapq.heappush(open_, x)
+                    parked[r] = []
+                below = min(below, n)
+                was, s = heapq.heappop(open_)
+                while now.get(s) != was or room[s] < n:
+                    if now.get(s) == was:
+                        parked[room[s]].append((was, s))
+                        below = max(below, n)
+                    was, s = heapq.heappop(open_)
+            else:
+                was, s = heapq.heappop(every)
+                while now.get(s) != was:
+                    was, s = heapq.heappop(every)
             take = min(n, room[s])
             pieces.append((d, at, take, s, fills[s] - room[s]))
             held[room[s]] -= 1
             room[s] -= take
             if room[s]:
                 held[room[s]] += 1
-                heapq.heappush(open_, (was + cost(take), s))
+                now[s] = was + cost(take)
+                heapq.heappush(open_, (now[s], s))
+                heapq.heappush(every, (now[s], s))
+            else:
+                del now[s]
             n, at = n - take, at + take
     return pieces, fills
 
