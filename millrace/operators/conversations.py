@@ -134,3 +134,29 @@ def dpo_from_errors(steps: DataFrame, by: str, order: str, call: str, failed: Co
     w = Window.partitionBy(by, call).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     df = steps.withColumns({"_failed": failed, "bad_at": F.max(F.when(~failed, F.col(order))).over(w)})
     return df.filter(F.col("_failed") & F.col("bad_at").isNotNull()).select(by, F.col(order).alias("error_at"), call, "bad_at")
+
+
+def source_issues(turns: DataFrame, limit: int = 80_000) -> DataFrame:
+    """conv_id, issue of recorded source conversations: too long a context in place of the structure's
+    issues; a secret or personal data anywhere in the messages of one that is not comes before them."""
+    plain = F.transform("messages", lambda m: F.struct(F.coalesce(m["text"], F.lit("")).alias("content"), m["role"].alias("role")))
+    whole = messages(turns).select("conv_id", F.to_json(plain).alias("_json"))
+    gate = T.text_issue(F.col("_json"))
+    leak = F.when(gate.isin("potential_secret", "potential_personal_data"), gate)
+    both = whole.join(issues(turns), "conv_id")
+    long = F.length("_json") > limit
+    return both.select("conv_id", F.when(long, "context_exceeds_auto_limit").otherwise(F.coalesce(leak, "issue")).alias("issue"))
+
+
+def preview(turns: DataFrame) -> DataFrame:
+    """conv_id, preview: the conversation as a person reads it; assistant messages without text are left out."""
+
+    def line(m: Column) -> Column:
+        body = F.coalesce(m["text"], F.lit(""))
+        return (
+            F.when(m["role"] == "assistant", F.when(body != "", F.concat(F.lit("【回答】"), body)))
+            .when(m["role"] == "tool", F.concat(F.lit("【工具结果✔】"), body))
+            .otherwise(F.concat(F.lit("【"), F.coalesce(m["role"], F.lit("")), F.lit("】"), body))
+        )
+
+    return messages(turns).select("conv_id", F.array_join(F.transform("messages", line), "\n\n").alias("preview"))

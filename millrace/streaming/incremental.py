@@ -56,6 +56,23 @@ def audit(stream: DataFrame, by: str, text: str) -> DataFrame:
     return stream.groupBy(by).agg(F.count("*").alias("rows"), F.sum(n).alias("chars"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
+def shard_receipts(stream: DataFrame, text: str, out: str, checkpoint: str) -> None:
+    """Watches a directory: each file that has come since the last call leaves one receipt (file, rows, chars,
+    blank rows) in the Parquet table ``out``.  A repeated batch overwrites its own receipts."""
+    n = F.length(text)
+    named = stream.select(F.col("_metadata.file_path").alias("file"), text)
+
+    def batch(df: DataFrame, number: int) -> None:
+        per = df.groupBy("file").agg(
+            F.count("*").alias("rows"), F.coalesce(F.sum(n), F.lit(0)).alias("chars"),
+            F.count(F.when(F.coalesce(F.trim(text), F.lit("")) == "", 1)).alias("blank"),
+        )
+        per.write.mode("overwrite").parquet(f"{out}/round={number}")
+
+    query = named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Tumbling counts by event type; late rows within the delay still count.  Works on batches and streams."""
     timed = events.withWatermark("ts", delay)
