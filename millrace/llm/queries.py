@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
-
-from millrace.llm.oracles import ORACLES  # noqa: F401
+from millrace.llm import (
+    audit_sql, chat, decontamination, divergence, histogram_packing, jaccard_join, packing, pii, quality_classifier,
+    quality_rules, secrets, suffix_dedup, toxicity, vector_codes,
+)
+from millrace.llm.oracles import ORACLES
 from millrace.llm.shared import shared_folder, stored
 from millrace.sources.tables import table as _table
 
@@ -85,10 +87,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack(_table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_pii, op3_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_toxicity, op7_chat, op8_decontamination,
-        op9_quality_rules, op10_quality_classifier, secret_ledger,
+        op9_quality_rules, op10_quality_classifier, op11_vector_codes, op12_source_divergence, op13_best_fit_packing,
+        secret_ledger,
     )
 }
+ORACLES |= {"op11_vector_codes": audit_sql.VECTOR_CODES, "op12_source_divergence": audit_sql.DIVERGENCE}
