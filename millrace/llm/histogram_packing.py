@@ -167,4 +167,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         return docs.sparkSession.createDataFrame([], PACKED)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return take_slots(pieces.join(stored(firsts), ["task", "length"]), slots)
+    # As many first ranks as tasks times lengths: a table that grows, so it is never broadcast.
+    return take_slots(pieces.join(stored(firsts).hint("merge"), ["task", "length"]), slots)
