@@ -249,11 +249,12 @@ def k5(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_set(F.col("vec_id") % 7)).alias("sources"), F.count("*").alias("n"))
 
 
-SEED = "s AS (SELECT i AS position, (i * 65537) % (4 * 97 * 89 * 83) AS seed FROM range(5000) r(i))"
+SEED = "s AS (SELECT p_partkey AS position, (p_partkey * 65537) % (4 * 97 * 89 * 83) AS seed FROM part)"
 
 
-def _seeds(spark):
-    return arithmetic.seeds(spark.range(5000).withColumnRenamed("id", "position"))
+def seeds(spark, d):
+    """The keys of parts are the positions."""
+    return arithmetic.seeds(table(spark, d, "part").select(F.col("p_partkey").alias("position")))
 
 
 ONE = """v AS (SELECT position, seed, 2 + seed % 17 AS a, 2 + seed // 17 % 17 AS b FROM s),
@@ -264,7 +265,7 @@ ONE = """v AS (SELECT position, seed, 2 + seed % 17 AS a, 2 + seed // 17 % 17 AS
 @query("g1_arithmetic_one_step", f"""WITH {SEED}, {ONE} SELECT *, '列式：' || expression || ' = ' || result || '。因此答案是 ' || result || '。 <<' || expression || '=' || result || '>> #### ' || result AS answer FROM o""")
 def g1(spark, d):
     e, r = arithmetic.one_step(F.col("seed"))
-    rows = _seeds(spark).select("position", e.alias("expression"), r.alias("result"))
+    rows = seeds(spark, d).select("position", e.alias("expression"), r.alias("result"))
     return rows.withColumn("answer", arithmetic.one_step_answer(F.col("expression"), F.col("result")))
 
 
@@ -282,7 +283,7 @@ TWO = """v AS (SELECT position, seed, 2 + seed % 97 AS a, 2 + seed // 97 % 89 AS
   '最后平均分组：<<' || e3 || '=' || r3 || '>>。', '#### ' || coalesce(r3, r2)) AS answer FROM o""")
 def g1_several(spark, d):
     steps, r = arithmetic.several_steps(F.col("seed"))
-    rows = _seeds(spark).select("position", "seed", steps.alias("steps"), r.alias("result"))
+    rows = seeds(spark, d).select("position", "seed", steps.alias("steps"), r.alias("result"))
     return rows.select(
         "position", F.element_at("steps", -1)["expression"].alias("expression"), "result",
         arithmetic.several_steps_answer(F.col("seed"), F.col("steps")).alias("answer"),
@@ -303,7 +304,7 @@ def g3(spark, d):
     """Of ten answers one ends on another number, one belongs to another expression, one repeats its
     last line and one miscalculates."""
     e, r = arithmetic.one_step(F.col("seed"))
-    rows = _seeds(spark).select("position", e.alias("expression"), r.alias("result"))
+    rows = seeds(spark, d).select("position", e.alias("expression"), r.alias("result"))
     case, said = F.col("position") % 10, arithmetic.one_step_answer(F.col("expression"), F.col("result"))
     answer = (
         F.when(case == 0, F.regexp_replace(said, "#### ", "#### 9")).when(case == 2, F.concat(said, F.lit(" #### 1")))
@@ -323,14 +324,15 @@ def g3(spark, d):
 def l3(spark, d):
     """New calculations: the first forty are in the ledger; operands of + and * in any order are one."""
     e, _ = arithmetic.one_step(F.col("seed"))
-    rows = _seeds(spark).select("position", e.alias("expression"))
+    rows = seeds(spark, d).select("position", e.alias("expression"))
     ledger = rows.filter("position < 40").select(arithmetic.fingerprint(F.col("expression")).alias("fingerprint"))
     return arithmetic.unseen(rows, ledger).select("fingerprint", "position")
 
 
-@query("s13_repeat_template", "SELECT i AS id, 'template' AS name FROM range(100) r(i)")
+@query("s13_repeat_template", "SELECT p_partkey AS id, 'template' AS name FROM part")
 def s13(spark, d):
-    return spark.range(100).select("id", F.lit("template").alias("name"))
+    """As many copies of the template as there are parts."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("template").alias("name"))
 
 
 @query("s17_page_of_rows", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 25 OFFSET 50")
