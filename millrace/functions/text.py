@@ -216,6 +216,21 @@ def strip_tags(html: Column) -> Column:
     return squash(F.regexp_replace(html, "<[^>]*>", " "))
 
 
+@F.pandas_udf(S.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references resolved, once; only texts with an ampersand come here."""
+    import html
+
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
+def plain_text(html: Column, most: int | None = None) -> Column:
+    """Tags to blanks, character references resolved, white space folded, cut to ``most`` characters."""
+    bare = F.regexp_replace(html, "<[^>]*>", " ")
+    said = F.when(bare.contains("&"), unescaped(F.when(bare.contains("&"), bare))).otherwise(bare)
+    return squash(said) if most is None else F.substring(squash(said), 1, most)
+
+
 def chunk_id(text: Column) -> Column:
     """Sixteen hex digits of the text without white space."""
     return F.substring(F.sha2(F.regexp_replace(text, r"(?U)\s+", ""), 256), 1, 16)

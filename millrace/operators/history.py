@@ -43,6 +43,40 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(T.squash(plain), "[?？ ]+$", "")
 
 
+def exact(text: Column, strip: bool = False) -> Column:
+    """What an identity keeps: composed, line ends as line feeds; case and inner blanks stay.  Null is empty."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    text = F.when(T.is_ascii(text), text).otherwise(T.nfc(F.when(~T.is_ascii(text), text)))
+    return T.strip(text) if strip else text
+
+
+def _sealed(parts: list[Column]) -> Column:
+    return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
+def _dimension(value: Column, fallback: str) -> Column:
+    return normalised(F.coalesce(F.nullif(value, F.lit("")), F.lit(fallback)))
+
+
+def contract_identity(question: Column, context: Column, policy: Column, kind: Column) -> Column:
+    """Question, visible context, answer policy and kind as one digest."""
+    return _sealed([exact(question, True), exact(context), _dimension(policy, "answer"), _dimension(kind, "closed_book")])
+
+
+def learner_task_identity(question: Column, context: Column) -> Column:
+    """What the learner sees, whatever the policy or kind behind it."""
+    return _sealed([exact(question, True), exact(context)])
+
+
+def actual_input_identity(contract: Column, actual: Column, only: Column) -> Column:
+    """A contract with the digest of the input that was really sent, or that digest alone; the contract where
+    there is none.  A digest is 64 hex digits; anything else is an error."""
+    good = actual.isNull() | actual.rlike("^[a-f0-9]{64}$")
+    checked = F.when(good, actual).otherwise(F.raise_error(F.lit("qa_history_actual_input_hash_invalid")).cast("string"))
+    alone = _sealed([F.lit("actual_training_input_v1"), checked])
+    return F.when(actual.isNull(), contract).when(only, alone).otherwise(_sealed([contract, checked]))
+
+
 def terms(norm: Column) -> Column:
     """The distinct terms of a normalised question: w: words and pairs, c: Han runs."""
     words = F.regexp_extract_all(norm, F.lit(WORD), F.lit(0))

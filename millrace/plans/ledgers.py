@@ -193,6 +193,27 @@ def l4(spark, d):
     return observations.gates(GATE_TABLE, events, ["user_id"], "event_id")
 
 
+# --- identities of questions -------------------------------------------------------------------
+
+_Q = "trim(nfc_normalize(replace(text, chr(13), chr(10))), E' \\n\\t')"
+
+
+@query(
+    "d19_question_identities",
+    f"""WITH q AS (SELECT conv_id, turn, sha256(to_json([{_Q}, role, 'answer', 'open book'])::VARCHAR) AS contract, sha256(to_json([{_Q}, role])::VARCHAR) AS task, sha256(text) AS sent FROM conversations)
+    SELECT conv_id, turn, contract, task, CASE turn % 3 WHEN 0 THEN contract WHEN 1 THEN sha256('["' || contract || '","' || sent || '"]') ELSE sha256('["actual_training_input_v1","' || sent || '"]') END AS actual FROM q""",
+)
+def d19(spark, d):
+    """The three identities of every turn as a question in the context of its role."""
+    turns = table(spark, d, "conversations")
+    contract = history.contract_identity(F.concat("text", F.lit(" \n")), F.col("role"), F.lit(None).cast("string"), F.lit(" Open  BOOK?"))
+    task = history.learner_task_identity(F.col("text"), F.col("role"))
+    sent = F.when(F.col("turn") % 3 != 0, F.sha2("text", 256))
+    rows = turns.select("conv_id", "turn", contract.alias("contract"), task.alias("task"), sent.alias("sent"))
+    actual = history.actual_input_identity(F.col("contract"), F.col("sent"), F.col("turn") % 3 == 2)
+    return rows.select("conv_id", "turn", "contract", "task", actual.alias("actual"))
+
+
 # --- samples of terms --------------------------------------------------------------------------
 
 

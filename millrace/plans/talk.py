@@ -71,6 +71,13 @@ def p26(spark, d):
     return df.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
+@query("p26_plain_text", f"""SELECT page_id, length(t) AS chars, sha256(t) AS digest FROM (SELECT page_id, left({_squash("regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g')")}, 700) AS t FROM pages)""")
+def p26_plain(spark, d):
+    """With character references resolved, cut to 700 characters."""
+    df = table(spark, d, "pages").select("page_id", T.plain_text(F.col("html"), 700).alias("t"))
+    return df.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
+
+
 @query("p29_url_dedup", r"""SELECT url, min(page_id) AS page_id FROM pages WHERE regexp_matches(url, '^https?://[^/@\s]+(/|$|\?)') AND length(url) <= 1200 GROUP BY url""")
 def p29(spark, d):
     ok = F.col("url").rlike(r"^https?://[^/@\s]+(/|$|\?)") & (F.length("url") <= 1200)
