@@ -193,6 +193,7 @@ def truncated(text: Column, limit: int = 8000) -> Column:
 def truncate_to_tokens(texts: pd.Series, budgets: pd.Series) -> pd.Series:
     """The longest prefix within a token budget, marked when it is cut."""
     import re
+    from itertools import islice
 
     def tokens(t: str) -> int:
         cjk = len(re.findall("[一-鿿]", t))
@@ -202,7 +203,9 @@ def truncate_to_tokens(texts: pd.Series, budgets: pd.Series) -> pd.Series:
         if t is None or tokens(t) <= budget:
             return t
         mark = "…[截断]"
-        low, high = 0, len(t)
+        # A word or Chinese character costs one token at least: what lies beyond so many is never looked at again.
+        first = list(islice(re.finditer(r"[一-鿿]|[^\s一-鿿]+", t), budget + 1))
+        low, high = 0, first[-1].end() if first else len(t)
         while low < high:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if tokens(t[:mid] + mark) <= budget else (low, mid - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -92,15 +92,11 @@ def line_ranges(docs: DataFrame, ranges: DataFrame, key: str = "doc_id", text: s
 def claims(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start, quote, claim_id: sentences that hold a digit or a word of strength."""
     parts = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*\s*|[.!?\n]\s*"), F.lit(0))
-
-    def step(acc: Column, part: Column) -> Column:
-        item = F.struct(acc["at"].alias("start"), part.alias("quote"))
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,quote:string>>").alias("out"))
-    rows = docs.select(key, F.explode(F.aggregate(parts, zero, step, lambda a: a["out"])).alias("s")).select(
-        key, "s.start", F.rtrim("s.quote").alias("quote")
-    )
+    numbered = docs.select(key, text).withColumn("_row", F.monotonically_increasing_id())
+    pieces = numbered.select("_row", key, F.posexplode(parts).alias("_at", "part"))
+    before = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int")
+    rows = pieces.select(key, start.alias("start"), F.rtrim("part").alias("quote"))
     kept = rows.filter(F.col("quote").rlike(r"(?i)[0-9]|\b(?:always|never|all|none|every|only|must)\b"))
     name = F.concat_ws(":", F.lit(text), F.col("start").cast("string"), "quote")
     return kept.withColumn("claim_id", F.substring(F.sha2(name, 256), 1, 16))

@@ -47,3 +47,23 @@ def rlaif(candidates: DataFrame, prompt: str, order: str, score: str) -> DataFra
 
     placed = running(candidates.select(prompt, order, score), prompt, [f"-{score}", order], F.lit(1), "_at")
     return placed.select(prompt, (F.col("_at") + 1).cast("int").alias("preference_rank"), order, score)
+
+
+def style_pairs(messages: DataFrame, rewrites: DataFrame, threshold: int = HIGH) -> DataFrame:
+    """id, sample, position, prompt (the texts of earlier user turns, in order), chosen, rejected.
+
+    ``messages``: sample, position, role, content, score.  ``rewrites``: sample, position, round, content,
+    score.  Rounds run until one reaches the threshold; a message that has it already is left alone.  The
+    best rewrite (the earliest of equals) that beats the message's own score and differs is chosen.
+    """
+    own = messages.filter((F.col("role") == "assistant") & (F.col("score") < threshold)).select("sample", "position", F.col("content").alias("rejected"), F.col("score").alias("base"))
+    done = rewrites.filter(F.col("score") >= threshold).groupBy("sample", "position").agg(F.min("round").alias("last"))
+    heard = rewrites.join(done, ["sample", "position"], "left").filter(F.col("last").isNull() | (F.col("round") <= F.col("last")))
+    best = heard.groupBy("sample", "position").agg(F.max_by(F.struct("content", "score"), F.struct("score", (-F.col("round")).alias("r"))).alias("b"))
+    pairs = own.join(best, ["sample", "position"]).filter((F.col("b.score") > F.col("base")) & (F.col("b.content") != F.col("rejected")))
+    asked = messages.filter("role = 'user'").select("sample", F.col("position").alias("at"), F.col("content").alias("said"))
+    before = pairs.select("sample", "position").join(asked, "sample").filter(F.col("at") < F.col("position"))
+    prompt = before.groupBy("sample", "position").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]).alias("prompt"))
+    out = pairs.join(prompt, ["sample", "position"], "left")
+    name = F.concat(F.lit("style-"), F.substring(F.sha2(F.col("b.content"), 256), 1, 16))
+    return out.select(name.alias("id"), "sample", "position", F.coalesce("prompt", F.array().cast("array<string>")).alias("prompt"), F.col("b.content").alias("chosen"), "rejected")

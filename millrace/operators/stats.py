@@ -81,3 +81,10 @@ def shard_audit(rows: DataFrame, by: list[str], text: str) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("*").alias("rows"), F.count_if(F.coalesce(n, F.lit(0)) == 0).alias("empty"), F.coalesce(F.sum(n), F.lit(0)).alias("chars"), F.max(n).alias("longest")
     )
+
+
+def input_summary(units: DataFrame, status: str, max_units: int, *by: str) -> DataFrame:
+    """by, units, ready, quarantined, skipped, deferred: ready units beyond ``max_units`` wait for a later run."""
+    n = lambda s: F.count_if(F.coalesce(F.col(status) == s, F.lit(False)))
+    found = units.groupBy(*by).agg(F.count("*").alias("units"), n("ready").alias("ready"), n("quarantined").alias("quarantined"), n("skipped").alias("skipped"))
+    return found.withColumn("deferred", F.greatest(F.lit(0), F.col("ready") - max_units))

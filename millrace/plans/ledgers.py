@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import arithmetic, distribution, equivalence, history, history_import, observations
+from millrace.operators import arithmetic, distribution, equivalence, history, history_import, observations, preference, stats
 from millrace.plans.feeds import _folder
 from millrace.plans.registry import query, table
 from millrace.plans.workflow import ONE, SEED, seeds
@@ -236,3 +236,38 @@ def k3(spark, d):
     questions = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias("question"))
     indexed = history.index(questions)
     return history.similar(indexed, indexed.filter("row_id % 20 = 0"))
+
+
+# --- inputs and style pairs --------------------------------------------------------------------
+
+
+@query(
+    "a22_input_summary",
+    """WITH u AS (SELECT source, CASE WHEN doc_id % 5 = 1 THEN 'quarantined' WHEN doc_id % 7 = 2 THEN 'skipped' WHEN doc_id % 11 = 3 THEN NULL ELSE 'ready' END AS status FROM documents),
+    s AS (SELECT source, count(*) AS units, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'skipped') AS skipped FROM u GROUP BY source)
+    SELECT *, greatest(0, ready - 20) AS deferred FROM s""",
+)
+def a22(spark, d):
+    k = F.col("doc_id")
+    status = F.when(k % 5 == 1, "quarantined").when(k % 7 == 2, "skipped").when(k % 11 == 3, F.lit(None)).otherwise("ready")
+    return stats.input_summary(table(spark, d, "documents").select("source", status.alias("status")), "status", 20, "source")
+
+
+@query(
+    "q5_style_pairs",
+    """WITH m AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 5 AS score FROM conversations),
+    w AS (SELECT conv_id, turn, r, text || ' v' || r AS content, (conv_id * 3 + turn + r * 2) % 6 AS score FROM m, range(1, 4) t(r) WHERE role = 'assistant'),
+    h AS (SELECT *, min(r) FILTER (score >= 4) OVER (PARTITION BY conv_id, turn) AS last FROM w),
+    b AS (SELECT conv_id, turn, arg_max(content, score * 10 - r) AS chosen, max(score) AS best FROM h WHERE last IS NULL OR r <= last GROUP BY ALL)
+    SELECT 'style-' || left(sha256(chosen), 16) AS id, conv_id AS sample, turn AS position, chosen, text AS rejected,
+    (SELECT coalesce(string_agg(u.text, chr(31) ORDER BY u.turn), '') FROM m u WHERE u.conv_id = m.conv_id AND u.role = 'user' AND u.turn < m.turn) AS prompt
+    FROM m JOIN b USING (conv_id, turn) WHERE role = 'assistant' AND score < 4 AND best > score""",
+)
+def q5(spark, d):
+    """Three rewrites of each answer, scores by number."""
+    turns = table(spark, d, "conversations")
+    messages = turns.select(F.col("conv_id").alias("sample"), F.col("turn").alias("position"), "role", F.col("text").alias("content"), ((F.col("conv_id") + F.col("turn")) % 5).alias("score"))
+    rounds = messages.filter("role = 'assistant'").withColumn("round", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    text = F.concat("content", F.lit(" v"), F.col("round").cast("string"))
+    rewrites = rounds.select("sample", "position", "round", text.alias("content"), ((F.col("sample") * 3 + F.col("position") + F.col("round") * 2) % 6).alias("score"))
+    return preference.style_pairs(messages, rewrites).withColumn("prompt", F.array_join("prompt", "\x1f"))

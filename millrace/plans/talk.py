@@ -38,10 +38,14 @@ def p15(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("p16_truncate_to_tokens")
+_TOKENS = f"""floor({COUNT.format('text', CJK)} + 1.3 * {COUNT.format(f"regexp_replace(text, '{CJK}', ' ', 'g')", '[^\\s]+')})::BIGINT"""
+
+
+@query("p16_truncate_to_tokens", rf"""WITH t AS (SELECT doc_id, CASE WHEN {_TOKENS} <= 100 THEN text ELSE regexp_extract(text, '^\s*(\S+\s+){{0,74}}\S+') || '…[截断]' END AS text FROM documents)
+  SELECT doc_id, text, {_TOKENS} AS tokens FROM t""")
 def p16(spark, d):
     df = table(spark, d, "documents").select("doc_id", T.truncate_to_tokens(F.col("text"), F.lit(100)).alias("text"))
-    return df.withColumn("tokens", T.estimate_tokens(F.col("text")))
+    return df.withColumn("tokens", T.estimate_tokens(F.col("text")).cast("long"))
 
 
 @query("p17_truncate_fixed", "SELECT doc_id, sha256(CASE WHEN length(text) > 8000 THEN substring(text, 1, 8000) || '…[truncated]' ELSE text END) AS digest FROM documents")
@@ -154,7 +158,13 @@ def c15(spark, d):
     return conversations.message_windows(table(spark, d, "conversations"))
 
 
-@query("p27_claim_anchors")
+_STRONG = r"(?i)[0-9]|(^|[^\p{L}\p{N}_])(always|never|all|none|every|only|must)($|[^\p{L}\p{N}_])"
+
+
+@query("p27_claim_anchors", rf"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*\s*|[.!?\n]\s*') AS parts FROM documents),
+  s AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM p),
+  q AS (SELECT doc_id, rtrim(part, ' ') AS quote, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM s)
+  SELECT doc_id, start, quote, left(sha256('text:' || start || ':' || quote), 16) AS claim_id FROM q WHERE regexp_matches(quote, '{_STRONG}')""")
 def p27(spark, d):
     return chunking.claims(table(spark, d, "documents"))
 
