@@ -88,7 +88,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).drop("evaluated")
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
