@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import arithmetic, distribution, equivalence, history, history_import, observations, preference, stats
+from millrace.operators import arithmetic, distribution, equivalence, history, history_import, observations, packs, preference, stats
 from millrace.plans.feeds import _folder
 from millrace.plans.registry import query, table
 from millrace.plans.workflow import ONE, SEED, seeds
@@ -271,3 +271,18 @@ def q5(spark, d):
     text = F.concat("content", F.lit(" v"), F.col("round").cast("string"))
     rewrites = rounds.select("sample", "position", "round", text.alias("content"), ((F.col("sample") * 3 + F.col("position") + F.col("round") * 2) % 6).alias("score"))
     return preference.style_pairs(messages, rewrites).withColumn("prompt", F.array_join("prompt", "\x1f"))
+
+
+# --- packs filled in order ---------------------------------------------------------------------
+
+
+@query(
+    "c14_filled_packs",
+    """WITH RECURSIVE u AS MATERIALIZED (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+    p AS (SELECT source, min(doc_id) AS doc_id, 0 AS before, 0 AS pack FROM u GROUP BY source
+      UNION ALL SELECT p.source, n.doc_id, n.before, p.pack + 1 FROM p, LATERAL (SELECT doc_id, before FROM u WHERE u.source = p.source AND u.doc_id > p.doc_id AND u.before + u.n_chars > p.before + 20000 ORDER BY doc_id LIMIT 1) n)
+    SELECT u.source, u.doc_id, max(p.pack)::BIGINT AS pack FROM u JOIN p ON p.source = u.source AND p.doc_id <= u.doc_id GROUP BY ALL""",
+)
+def c14(spark, d):
+    """Packs of 20,000 characters, each filled before the next begins."""
+    return packs.filled(table(spark, d, "documents"), "source", "doc_id", "n_chars", 20_000)
