@@ -22,20 +22,21 @@ def _folder(spark, name: str) -> str:
 # --- huge JSON objects -------------------------------------------------------------------------
 
 
-def written_json(docs, path: str) -> None:
+def written_json(docs, path: str, array: bool = False) -> None:
     """Eight files of one JSON object each (shard, records); those of shard 5 whose id leaves 5 by 40
-    repeat a key inside a record."""
+    repeat a key inside a record.  Or eight files of one sound array each."""
     shard = F.pmod(F.col("doc_id"), F.lit(8)).alias("shard")
     about = F.concat(F.lit('{"lang":'), F.to_json(F.array("lang")), F.lit(',"source":'), F.to_json(F.array("source")))
-    again = F.when(F.pmod(F.col("doc_id"), F.lit(40)) == 5, F.lit(',"lang":[]')).otherwise("")
+    again = F.when((F.pmod(F.col("doc_id"), F.lit(40)) == 5) & ~F.lit(array), F.lit(',"lang":[]')).otherwise("")
     body = F.to_json(F.struct("doc_id", "text"))
     line = F.concat(F.lit(","), F.expr("substring(_body, 1, length(_body) - 1)"), F.lit(',"about":'), about, again, F.lit("}}"))
     records = docs.withColumn("_body", body).select(shard, F.lit(1).alias("part"), "doc_id", line.alias("value"))
     ends = docs.sparkSession.range(8).select(
         F.col("id").alias("shard"), F.explode(F.lit([0, 2])).alias("part"), F.lit(0).cast("bigint").alias("doc_id")
     )
-    head = F.concat(F.lit('{"shard":'), F.col("shard").cast("string"), F.lit(',"records":[{"doc_id":-1}'))
-    ends = ends.select("shard", "part", "doc_id", F.when(F.col("part") == 0, head).otherwise("]}").alias("value"))
+    top = F.lit("[") if array else F.concat(F.lit('{"shard":'), F.col("shard").cast("string"), F.lit(',"records":['))
+    head = F.concat(top, F.lit('{"doc_id":-1}'))
+    ends = ends.select("shard", "part", "doc_id", F.when(F.col("part") == 0, head).otherwise("]" if array else "]}").alias("value"))
     every = records.unionByName(ends).repartition(8, "shard").sortWithinPartitions("shard", "part", "doc_id")
     every.select("shard", "value").write.partitionBy("shard").text(path)
 
@@ -63,6 +64,16 @@ def s5(spark, d):
     return both.select("shard", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("chars", F.lit(0)).alias("chars"), "issue", "pointer")
 
 
+@query("s3_records_one_by_one", "SELECT doc_id, length(text) AS chars, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS place FROM documents")
+def s3(spark, d):
+    """The records of arrays, read one after another; each knows its place."""
+    path = _folder(spark, "arrays")
+    written_json(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), path, array=True)
+    record = F.from_json("value", "doc_id bigint, text string").alias("r")
+    rows = huge_json.accepted(huge_json.huge_json(spark, path, depth=1)).select("place", record).filter("r.doc_id >= 0")
+    return rows.select("r.doc_id", F.length("r.text").cast("bigint").alias("chars"), "place")
+
+
 # --- a growing event file ----------------------------------------------------------------------
 
 #: Events of one feed in the play below, at most.
