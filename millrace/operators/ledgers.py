@@ -95,3 +95,17 @@ def context_packs(units: DataFrame, by: str, order: str, size: str, capacity: in
 
     placed = running(units.select(by, order, size), by, [order], F.col(size), "_before")
     return placed.select(by, order, F.floor(F.col("_before") / capacity).cast("long").alias("pack"))
+
+
+def merged_memory(entries: DataFrame, content: list[str], source: str) -> DataFrame:
+    """id, content, sources, entries: entries of one content are one, with all their sources in the order of
+    their digests; contents that differ in anything stay apart.  Null sources are left out.
+
+    Sources are reduced to distinct ones before they meet, so a content that very many entries share is no
+    gathered group of them.
+    """
+    named = entries.withColumn("id", identity(*(F.to_json(F.struct(F.col(c).alias("x"))) for c in content)))
+    distinct = named.groupBy("id", *content, source).agg(F.count("*").alias("_n"))
+    told = F.when(F.col(source).isNotNull(), F.struct(F.sha2(F.col(source).cast("string"), 256).alias("d"), F.col(source).alias("s")))
+    per = distinct.groupBy("id", *content).agg(F.array_sort(F.collect_list(told)).alias("_s"), F.sum("_n").alias("entries"))
+    return per.select("id", *content, F.transform("_s", lambda x: x["s"]).alias("sources"), "entries")

@@ -88,3 +88,17 @@ def input_summary(units: DataFrame, status: str, max_units: int, *by: str) -> Da
     n = lambda s: F.count_if(F.coalesce(F.col(status) == s, F.lit(False)))
     found = units.groupBy(*by).agg(F.count("*").alias("units"), n("ready").alias("ready"), n("quarantined").alias("quarantined"), n("skipped").alias("skipped"))
     return found.withColumn("deferred", F.greatest(F.lit(0), F.col("ready") - max_units))
+
+
+def production_state(receipts: DataFrame, goals: dict[str, int]) -> DataFrame:
+    """target, goal, eligible, attempted, remaining, rounds for each goal (a small table of settings), also for
+    those without a receipt (target, round, eligible, attempted)."""
+    known = receipts.filter(F.col("target").isin(*goals)).groupBy("target").agg(
+        F.sum("eligible").cast("bigint").alias("eligible"), F.sum("attempted").cast("bigint").alias("attempted"), F.count_distinct("round").alias("rounds")
+    )
+    wanted = receipts.sparkSession.createDataFrame(list(goals.items()), "target string, goal bigint")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return wanted.join(known, "target", "left").select(
+        "target", "goal", n("eligible").alias("eligible"), n("attempted").alias("attempted"),
+        F.greatest(F.lit(0), F.col("goal") - n("eligible")).alias("remaining"), n("rounds").alias("rounds"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import arithmetic, distribution, equivalence, history, history_import, observations, packs, preference, stats
+from millrace.operators import arithmetic, distribution, equivalence, history, history_import, ledgers, observations, packs, preference, quotes, stats
 from millrace.plans.feeds import _folder
 from millrace.plans.registry import query, table
 from millrace.plans.workflow import ONE, SEED, seeds
@@ -286,3 +286,52 @@ def q5(spark, d):
 def c14(spark, d):
     """Packs of 20,000 characters, each filled before the next begins."""
     return packs.filled(table(spark, d, "documents"), "source", "doc_id", "n_chars", 20_000)
+
+
+# --- quotes, memories, production --------------------------------------------------------------
+
+
+@query(
+    "c11_quotes_bound",
+    r"""WITH d AS (SELECT doc_id, text, substring(text, 6, 40) AS q, regexp_replace(substring(text, 6, 40), '\s+', '', 'g') AS f FROM documents),
+    p AS (SELECT *, strpos(text, q) - 1 AS exact, strpos(text, f) - 1 AS bare, list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(text[i], '\s')) AS places, strpos(regexp_replace(text, '\s+', '', 'g'), f) AS dense FROM d WHERE length(text) < 2000)
+    SELECT doc_id, CASE WHEN f = '' THEN NULL ELSE exact::BIGINT END AS first_start, CASE WHEN f = '' THEN NULL WHEN bare >= 0 THEN bare::BIGINT ELSE places[dense] - 1 END AS second_start,
+    CASE WHEN f = '' THEN NULL WHEN bare >= 0 THEN bare + length(f) ELSE places[dense + length(f) - 1] END::BIGINT AS second_end, CASE WHEN f = '' THEN NULL WHEN bare >= 0 THEN 'exact' ELSE 'pdf_whitespace' END AS match FROM p
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL FROM documents WHERE length(text) >= 2000""",
+)
+def c11(spark, d):
+    """A piece of each document as it is and without its white space; long ones count as no PDF text, so their
+    second quote must stand there exactly (and the whole answer is null where it does not)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    piece = F.substring("text", 6, 40)
+    bare = F.regexp_replace(piece, r"\s+", "")
+    asked = F.array(piece, F.when(F.length("text") < 2000, bare).otherwise(F.lit("\u0001absent")))
+    spans = docs.select("doc_id", quotes.quote_spans(F.col("text"), asked, F.length("text") < 2000).alias("s"))
+    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    return spans.select("doc_id", first["start"].alias("first_start"), second["start"].alias("second_start"), second["end"].alias("second_end"), second["match"].alias("match"))
+
+
+@query(
+    "k5_memory_by_content",
+    """SELECT lang, left(text, 12) AS opening, list_transform(list_sort(list_distinct(list({'d': sha256(source), 's': source}))), lambda x: x.s) AS sources, count(*) AS entries FROM documents GROUP BY ALL""",
+)
+def k5(spark, d):
+    """Documents of one language and opening are one memory; its sources are all theirs."""
+    entries = table(spark, d, "documents").select("lang", F.substring("text", 1, 12).alias("opening"), "source")
+    return ledgers.merged_memory(entries, ["lang", "opening"], "source").drop("id")
+
+
+GOALS = {"click": 1500, "view": 100_000, "unheard": 7}
+
+
+@query(
+    "a21_production_state",
+    f"""WITH g AS (SELECT unnest({list(GOALS)}) AS target, unnest({list(GOALS.values())})::BIGINT AS goal),
+    r AS (SELECT event_type AS target, count(*) FILTER (value > 20) AS eligible, count(*) AS attempted, count(DISTINCT event_id // 500) AS rounds FROM events GROUP BY 1)
+    SELECT target, goal, coalesce(eligible, 0) AS eligible, coalesce(attempted, 0) AS attempted, greatest(0, goal - coalesce(eligible, 0)) AS remaining, coalesce(rounds, 0) AS rounds FROM g LEFT JOIN r USING (target)""",
+)
+def a21(spark, d):
+    """Five hundred events are a round's receipts; values above twenty are eligible."""
+    receipts = table(spark, d, "events").groupBy(F.col("event_type").alias("target"), F.expr("event_id div 500").alias("round"))
+    receipts = receipts.agg(F.count_if(F.col("value") > 20).alias("eligible"), F.count("*").alias("attempted"))
+    return stats.production_state(receipts, GOALS)
