@@ -213,7 +213,7 @@ NAMES = sorted(__spark_entry__.catalog.ORACLES)
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations", "pages", "embeddings", "events", "orders", "part"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages", "embeddings", "events", "orders", "part", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = __spark_entry__.queries()[name](spark, sf_dir)
     cursor = con.execute(__spark_entry__.oracle_sql()[name])
