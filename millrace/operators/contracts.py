@@ -133,8 +133,16 @@ def ordered_subset(staged: DataFrame, source: DataFrame, key: str, digest: str,
         F.count(F.when(F.col("sd") != F.col(digest), 1)).alias("changed"), F.count(F.when(F.col("back"), 1)).alias("back"),
         F.min("at").alias("low"), F.max("at").alias("high"),
     )
-    edges = Window.partitionBy(F.lit(1)).orderBy("b")  # one row per ten thousand staged rows
-    out = per.withColumn("across", F.coalesce(F.col("low") <= F.lag("high").over(edges), F.lit(False)).cast("int"))
+    # Neighbouring buckets are compared in groups of ten thousand, and then the groups' ends: a row for each hundred
+    # million staged rows is all that one task sees.
+    def crossed(w) -> Column:
+        return F.coalesce(F.col("low") <= F.lag("high").over(w), F.lit(False)).cast("int")
+
+    grouped = per.withColumn("g", F.floor(F.col("b") / 10_000))
+    grouped = grouped.withColumn("across", crossed(Window.partitionBy("g").orderBy("b")))
+    sums = [F.sum(c).alias(c) for c in ("n", "missing", "changed", "back", "across")]
+    ends = grouped.groupBy("g").agg(*sums, F.min_by("low", "b").alias("low"), F.max_by("high", "b").alias("high"))
+    out = ends.withColumn("across", F.col("across") + crossed(Window.partitionBy(F.lit(1)).orderBy("g")))
     return out.agg(
         F.sum("n").alias("staged"), F.sum("missing").alias("missing"), F.sum("changed").alias("changed"),
         (F.sum("back") + F.sum("across")).alias("out_of_order"),
