@@ -17,8 +17,13 @@ Length and positional bounds discard pairs that cannot link, the others are
 verified on the whole sets.  A first round compares each list's members with its
 hub alone.  A second compares, in lists whose members are still in several
 components, every member outside the hub's component with every member of other
-components, under the same bounds.  No link between components is lost, and a
-large group of near copies costs one pair for each member, not all pairs.
+components, under the same bounds and two more.  A bitmap of each set's
+shingles bounds the difference of two sets from below: bits that differ stand
+for at least so many shingles that one set lacks.  And a pair is passed on only
+where it begins to share lists: if the last lists of both before this one have
+one in common, the pair was met there.  No link between components is lost, and
+a large group of near copies makes one pair for each member and the pairs close
+to the limit, not all pairs, whether or not its members link.
 
 The boundary between light and heavy is the one of least total cost: sizes are
 counted, a light set costs its n + 1 digests, and a heavy one the scan of the
@@ -40,6 +45,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +62,8 @@ BUCKETS, BLOCK = 1 << 20, 1 << 14
 DIGEST_COST, SCAN_COST = 1.0, 4.0
 #: Words a worker remembers; executors run several workers beside the JVM's heap.
 MEMO = 1 << 17
+#: Words of 64 bits in a set's bitmap, and earlier lists that an entry remembers.
+WORDS, EARLIER = 8, 2
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,6 +92,10 @@ class Rule:
             n += 1
         return n
 
+    def near(self, apart: Column, a: Column, b: Column) -> Column:
+        """Whether sets of sizes a and b that differ by ``apart`` shingles link."""
+        return (100 + self.percent) * apart <= (100 - self.percent) * (a + b)
+
     def linked(self, overlap: Column, a: Column, b: Column) -> Column:
         return 100 * overlap >= self.percent * (a + b - overlap)
 
@@ -129,6 +142,13 @@ def _signature(found: np.ndarray) -> tuple[int, int]:
     return int(found.sum(dtype=np.uint64)), int(other.sum(dtype=np.uint64))
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles at each of 64 * ``WORDS`` bits: maps of two sets differ in no more bits than the sets do."""
+    at = (_mix(found * _M2) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -213,15 +233,15 @@ def light_limit(counters: np.ndarray, sizes: dict[int, int], rule: Rule = CONTRA
     return min(range(rule.least_light - 1, rule.max_light + 1), key=total)
 
 
-def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Order, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(prefix entries of the heavy classes, digests of the light ones)."""
+def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Order, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prefix entries of the heavy classes, digests of the light ones, bitmaps of the heavy ones)."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, own = Words(), sent.value
         top = -(-100 * own.light // rule.percent)
         for b in batches:
-            n, heads, digests = [], [], []
+            n, heads, digests, maps = [], [], [], []
             for t in b.column(1):
                 found = shingle_set(t.as_py() or "", memo, rule.shingle)
                 size = len(found)
@@ -229,8 +249,10 @@ def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Or
                 if size > own.light:
                     rarity = own.counters[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     heads.append(found[np.lexsort((found, rarity))[: rule.prefix_size(size)]])
+                    maps.append(bitmap(found))
                 else:
                     heads.append(found[:0])
+                    maps.append(found[:0])
                 if rule.least_light <= size <= top:
                     other = _mix(found * _M1 + _M2)
                     # row 0 is the set itself, the others lack one shingle each
@@ -244,12 +266,12 @@ def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Or
                     pa.array(np.cumsum([0, *map(len, x)]), pa.int32()),
                     pa.array(_signed(np.concatenate([found[:0], *x]) if x else np.zeros(0, np.uint64))),
                 )
-                for x in (heads, digests)
+                for x in (heads, digests, maps)
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *lists], ["key", "n", "head", "digests"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *lists], ["key", "n", "head", "digests", "bits"])
 
     raw = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, "key bigint, n bigint, head array<bigint>, digests array<bigint>"
+        run, "key bigint, n bigint, head array<bigint>, digests array<bigint>, bits array<bigint>"
     )
     # Only class representatives go on; the join moves heads, not texts.
     chosen = stored(
@@ -261,7 +283,8 @@ def _entries(docs: DataFrame, classes: DataFrame, key: str, text: str, order: Or
         lambda i: F.struct(F.get("digests", i).alias("s1"), F.get("digests", i + 1).alias("s2")),
     )
     light = chosen.filter(F.size("digests") > 0).select("key", "n", F.posexplode(pairs).alias("at", "d"))
-    return heavy, light.select("key", "n", "at", "d.s1", "d.s2")
+    bits = chosen.filter(F.size("bits") > 0).select("key", *[F.get("bits", i).alias(f"bits{i}") for i in range(WORDS)])
+    return heavy, light.select("key", "n", "at", "d.s1", "d.s2"), bits
 
 
 def _bounds(x: str, y: str, rule: Rule) -> Column:
@@ -275,6 +298,17 @@ def _bounds(x: str, y: str, rule: Rule) -> Column:
     return (100 * nx >= rule.percent * ny) & (100 * ny >= rule.percent * nx) & rule.linked(most, nx, ny)
 
 
+def _unmet(x: str, y: str) -> Column:
+    """Whether the last open lists of both members before this one have none in common."""
+    same = [F.col(f"{x}last{i}") == F.col(f"{y}last{j}") for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1)]
+    return ~reduce(or_, [F.coalesce(s, F.lit(False)) for s in same])
+
+
+def _apart(x: str, y: str) -> Column:
+    """At least so many shingles are in one of the two sets alone."""
+    return reduce(add, [F.bit_count(F.col(f"{x}bits{i}").bitwiseXOR(F.col(f"{y}bits{i}"))) for i in range(WORDS)])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     pairs = stored(pairs.distinct())
@@ -314,7 +348,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     # Beyond the rule's largest light size, digests of one deletion would miss links.
     small = rows.filter(F.col("n").between(1, 2 * rule.max_light)).groupBy("n").agg(F.count("*").alias("k"))
     order = Order(counters, light_limit(counters, {r.n: r.k for r in small.collect()}, rule))
-    heavy, light = _entries(docs, classes.select(F.col("class").alias("key"), "n"), key, text, order, rule)
+    heavy, light, bits = _entries(docs, classes.select(F.col("class").alias("key"), "n"), key, text, order, rule)
 
     own = light.filter("at = 0").select("s1", "s2", F.col("key").alias("a"), F.col("n").alias("an"))
     less = light.filter("at > 0").select("s1", "s2", F.col("key").alias("b"), F.col("n").alias("bn"))
@@ -341,15 +375,18 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
 
     placed = root(root(entries, "key", "root"), "hkey", "hroot")
     split = stored(placed.filter("root <> hroot").select("token").distinct())
-    open_ = stored(placed.join(split.hint("shuffle_hash"), "token").select("token", "key", "n", "at", "before", "root", "hroot", "hkey"))
-    x = open_.filter("root <> hroot").select(
-        "token", *[F.col(c).alias(f"x{c}") for c in ("key", "n", "at", "before", "root")]
-    )
-    y = open_.select("token", "hkey", "hroot", *[F.col(c).alias(f"y{c}") for c in ("key", "n", "at", "before", "root")])
+    open_ = placed.join(split.hint("shuffle_hash"), "token").select("token", "key", "n", "at", "before", "root", "hroot", "hkey")
+    # Members of different components share open lists alone, so these lists tell where a pair was met before.
+    last = Window.partitionBy("key").orderBy("at")
+    open_ = stored(open_.withColumns({f"last{i}": F.lag("token", i).over(last) for i in range(1, EARLIER + 1)}).join(bits, "key"))
+    carried = [c for c in open_.columns if c not in ("token", "hkey", "hroot")]
+    x = open_.filter("root <> hroot").select("token", *[F.col(c).alias(f"x{c}") for c in carried])
+    y = open_.select("token", "hkey", "hroot", *[F.col(c).alias(f"y{c}") for c in carried])
     # Pairs outside the hub's component are met from the lesser key alone; the hub was compared before.
     once = (F.col("yroot") == F.col("hroot")) | (F.col("xkey") < F.col("ykey"))
     crossed = x.join(y, "token").filter(
         (F.col("xroot") != F.col("yroot")) & once & (F.col("ykey") != F.col("hkey")) & _bounds("x", "y", rule)
+        & _unmet("x", "y") & rule.near(_apart("x", "y"), F.col("xn"), F.col("yn"))
     )
     second = _verified(
         crossed.select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")), docs, key, text, rule
