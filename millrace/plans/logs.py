@@ -38,7 +38,9 @@ def s2(spark, d):
     first = docs.groupBy("shard").agg(F.min("doc_id").alias("first"))
     body = F.when(F.col("doc_id") % 13 == 0, '{"doc_id": ').otherwise(F.to_json(F.struct("doc_id", "shard")))
     mark = F.when(F.col("doc_id") == F.col("first"), "﻿").otherwise("")
-    rows = docs.join(first, "shard").withColumn("value", F.concat(mark, F.when(F.col("doc_id") % 5 == 0, "\n").otherwise(""), body))
+    # A shuffled join would stand in for the repartitioning below, and its skewed partitions may be split:
+    # a shard would then be several files.  ``first`` has four rows.
+    rows = docs.join(F.broadcast(first), "shard").withColumn("value", F.concat(mark, F.when(F.col("doc_id") % 5 == 0, "\n").otherwise(""), body))
     rows.repartition("shard").sortWithinPartitions("shard", "doc_id").select("shard", "value").write.partitionBy("shard").text(path)
     found = [readers.numbered_jsonl(spark, f"{path}/shard={n}", "doc_id bigint").withColumn("shard", F.lit(n)) for n in range(4)]
     every = found[0]
