@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -110,12 +110,20 @@ def sampled(rows: DataFrame, column: str = "terms", k: int = TERMS) -> DataFrame
     return rows.mapInArrow(run, rows.schema)
 
 
+def least(terms: Column, hashed: Callable[[Column], Column], k: int = TERMS) -> Column:
+    """The sample of one row's ``terms`` (an array): structs of hash and term.  What it leaves out is in no sample of
+    a key that has this row."""
+    both = F.transform(F.array_distinct(terms), lambda t: F.struct(hashed(t).alias("hash"), t.alias("term")))
+    return F.slice(F.array_sort(both), 1, k)
+
+
 def bottom(rows: DataFrame, key: str, term: str, hashed: str, k: int = TERMS) -> DataFrame:
     """key, term, place: the same sample where a key's terms are rows.  Each task ranks what it holds first
-    (Spark's limit below the window), so that k rows of a key leave it at most."""
-    one = rows.select(key, term, hashed).distinct()
+    (Spark's limit below the window), so that k rows of a key leave it at most.  Where a row holds many terms,
+    ``least`` takes its sample before they become rows."""
     w = Window.partitionBy(key).orderBy(hashed, term)
-    return one.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(key, term, "place")
+    placed = rows.select(key, term, hashed).withColumn("place", F.dense_rank().over(w)).filter(F.col("place") <= k)
+    return placed.select(key, term, "place").distinct()  # within the window's partitions
 
 
 def index(questions: DataFrame, key: str = "row_id", text: str = "question") -> DataFrame:
