@@ -91,8 +91,8 @@ def s7(spark, d):
         yield from ()
 
     rows.mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
-    found = readers.texts(spark, path, "*.txt")
-    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("shard"), F.length("text").cast("bigint").alias("chars"), "issue")
+    found = readers.text_lines(spark, path, "*.txt").groupBy("path").agg(F.sum(F.length("text")).alias("chars"), F.max("issue").alias("issue"))
+    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("shard"), "chars", "issue")
 
 
 @query("s12_released_corpus", "SELECT doc_id, text FROM documents")

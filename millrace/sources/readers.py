@@ -10,6 +10,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+from millrace.operators.storage import stored
 
 TOOL_CALL = "struct<id:string,name:string,input:string>"
 MESSAGE = f"struct<role:string,content:string,reasoning_content:string,toolCalls:array<{TOOL_CALL}>,toolCallId:string,toolName:string,isError:boolean>"
@@ -87,6 +90,57 @@ def texts(spark: SparkSession, path: str, pattern: str = "*.{md,txt,tex}") -> Da
     return files.select("path", "content").mapInPandas(run, "path string, text string, issue string")
 
 
+@F.pandas_udf(S.BooleanType())
+def _gb18030(lines: pd.Series) -> pd.Series:
+    """Whether bytes are sound GB18030; a line end is no part of a longer character there."""
+
+    def sound(b: bytes | None) -> bool:
+        try:
+            return b is None or bytes(b).decode("gb18030") is not None
+        except UnicodeDecodeError:
+            return False
+
+    return lines.map(sound)
+
+
+@F.pandas_udf(S.StringType())
+def _from_gb18030(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda b: None if b is None else bytes(b).decode("gb18030"))
+
+
+def text_lines(spark: SparkSession, path: str, pattern: str = "*.{md,txt,tex}") -> DataFrame:
+    """path, text, issue of text files line by line: what ``texts`` gives in one row, for files of any size.
+
+    A line keeps its end, and files are read in splits.  The encoding is the whole file's: UTF-8 if all its lines
+    are, else GB18030 if all are that, else its one row has the issue alone.  Lines come in no order.
+    """
+    at = F.col("_metadata")
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    raw = lines.select(
+        at["file_path"].alias("path"), at["file_size"].alias("size"), at["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("raw"),
+    )
+    place = F.struct("block", "row")
+    files = stored(raw.groupBy("path", "size").agg(
+        F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
+        F.sum(F.octet_length("raw") + 1).alias("bytes"), F.min(place).alias("first"), F.max(place).alias("last"),
+    ))
+    # Of the bytes, the lines lack a byte-order mark (Hadoop's reader drops it) and the end that the last one may not have.
+    left = F.col("size") - F.col("bytes")
+    files = files.select("path", "utf8", "first", "last", (left >= 2).alias("mark"), left.isin(-1, 2).alias("open"))
+
+    mark = F.when(F.col("mark") & (place == F.col("first")), F.concat(F.lit(b"\xef\xbb\xbf"), "raw")).otherwise(F.col("raw"))
+    others = raw.join(files.filter("NOT utf8"), "path")
+    other = stored(others.groupBy("path").agg(F.bool_and(_gb18030(mark)).alias("gb18030")))
+    known = files.join(other, "path", "left")
+    rows = raw.join(known.filter("utf8 OR gb18030"), "path")
+    said = F.when(F.col("utf8"), F.col("raw").cast("string")).otherwise(_from_gb18030(F.when(~F.col("utf8"), mark)))
+    end = F.when(F.col("open") & (place == F.col("last")), "").otherwise("\n")
+    decoded = rows.select("path", F.concat(said, end).alias("text"), F.lit(None).cast("string").alias("issue"))
+    refused = known.filter("NOT utf8 AND NOT gb18030").select("path", F.lit(None).cast("string").alias("text"), F.lit("undecodable_text").alias("issue"))
+    return decoded.unionByName(refused)
+
+
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     """path, page, text, issue.  Without the optional reader every file says so."""
 
