@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators.storage import shared_folder
+from millrace.operators.storage import shared_folder, stored
 from millrace.plans.corpus import PACKAGED
 from millrace.plans.registry import query, table
 from millrace.sources import huge_json
@@ -130,7 +130,7 @@ def r5(spark, d):
     at = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
     items = table(spark, d, "events").select(F.col("event_type").alias("stage"), "event_id", at.cast("bigint").alias("item"))
     none = F.array().cast("array<string>")
-    items = items.withColumn("payloads", F.when(F.pmod("item", F.lit(7)) == 3, none).otherwise(F.array(F.col("event_id").cast("string"))))
+    items = stored(items.withColumn("payloads", F.when(F.pmod("item", F.lit(7)) == 3, none).otherwise(F.array(F.col("event_id").cast("string")))))
     arrived, out, checkpoint = (_folder(spark, f"stage-{x}") for x in ("in", "out", "state"))
     for n in range(5):
         mine = items.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == n).select("stage", "item", "payloads")
